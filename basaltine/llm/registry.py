@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltine.llm import exact_dedup as exact
-from basaltine.llm import mixing, quality_rules, simhash, token_counts
+from basaltine.llm import mixing, pieces, quality_rules, simhash, token_counts, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,30 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_token_counts"] = op7_token_counts
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document: how many, a digest of their ids, and whether decoding gives the text again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", words.whole("text").alias("text"))
+    both = pieces.decode_documents(pieces.encode_documents(docs, path), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.lower(F.lpad(F.hex(F.xxhash64("ids")), 16, "0")).alias("ids_digest"),
+        F.octet_length("decoded").cast("long").alias("decoded_bytes"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
+QUERIES["op2_sentencepiece"] = op2_sentencepiece
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

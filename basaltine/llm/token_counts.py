@@ -25,7 +25,7 @@ from basaltine.llm.words import whole
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 1024
 #: Pre-tokens that a worker remembers, pre-tokens cut at a time from a long text, bytes of pre-tokens merged at a time.
-REMEMBERED, AT_A_TIME, MERGED_BYTES = 400_000, 200_000, 1 << 22
+REMEMBERED, AT_A_TIME, MERGED_BYTES = 800_000, 200_000, 1 << 22
 _known: dict[str, dict[str, int]] = {}
 
 
