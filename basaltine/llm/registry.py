@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltine.llm import exact_dedup as exact
-from basaltine.llm import mixing, pieces, quality_rules, simhash, token_counts, words
+from basaltine.llm import chat, mixing, pieces, quality_rules, simhash, token_counts, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,38 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["pipeline"] = pipeline
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+#: A conversation that says the template's own marks, beside those of the table.
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what is read back from the formatted text."""
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)]
+    rows = table.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    out = chat.format_trees(chat.linear_messages(rows))
+    out = out.select("conv", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+QUERIES["op10_chat_formatting"] = op10_chat_formatting
+ORACLES["op10_chat_formatting"] = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, length(replace(text, '\', '\\')) + len(string_split(text, '</turn>')) - 1
+                + length(array_to_string(regexp_extract_all(text, '#{3,}'), '')) - 2 * len(regexp_extract_all(text, '#{3,}')) AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + escaped + 14)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
