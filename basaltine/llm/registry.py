@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltine.llm import exact_dedup as exact
-from basaltine.llm import chat, mixing, pieces, quality_rules, simhash, token_counts, words
+from basaltine.llm import chat, license_scan, mixing, pieces, quality_rules, simhash, token_counts, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(length(role) + escaped + 14)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices in every document."""
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    notices = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_scan.TEMPLATES.items())
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {notices}) AS v(license, notice)),
+tw AS (SELECT license, regexp_extract_all(lower(notice), '[\p{{L}}\p{{N}}]+(?:[.''-][\p{{L}}\p{{N}}]+)*') AS w FROM t),
+ts AS (SELECT license, len(w) - 4 AS m, i - 1 AS o, array_to_string(w[i:i + 4], ' ') AS s FROM tw, unnest(range(1, len(w) - 3)) AS u(i)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+(?:[.''-][\p{{L}}\p{{N}}]+)*') AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS s FROM dw, unnest(range(1, len(w) - 3)) AS u(i)),
+hit AS (SELECT DISTINCT doc_id, license, m, p - o AS first, greatest(2, m // 4) AS slack FROM ds JOIN ts USING (s)),
+n AS (SELECT hit.doc_id, hit.license, first, hit.m, count(DISTINCT ds.s) AS c
+      FROM hit JOIN ds ON ds.doc_id = hit.doc_id AND ds.p BETWEEN first - slack AND first + hit.m - 1 + slack
+      JOIN ts ON ts.license = hit.license AND ts.s = ds.s GROUP BY ALL),
+d AS (SELECT license, count(DISTINCT s) AS m FROM ts GROUP BY license)
+SELECT doc_id, license, max(c / d.m) AS containment, min(greatest(first, 0))::BIGINT AS first_word, count(DISTINCT greatest(first, 0)) AS places
+FROM n JOIN d USING (license) WHERE c / d.m >= 0.8 GROUP BY doc_id, license
+"""
+
+
+QUERIES["op1_license_scan"] = op1_license_scan
+ORACLES["op1_license_scan"] = _license_sql()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but these seven white-space characters.
@@ -30,3 +30,12 @@ def words(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """The number of words of a text (long)."""
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` on columns as computed.
+
+    The optimiser would otherwise move the condition below the columns it reads and compute them once more in it, in
+    lambdas even once an element. It moves nothing below a row number that the condition reads.
+    """
+    return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")

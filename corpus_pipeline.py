@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basaltine.llm import exact_dedup, mixing, pieces, quality_rules, simhash
 from basaltine.llm.scratch import saved
+from basaltine.llm.words import where_computed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -16,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current version of the quality policy."""
     led = quality_rules.ledger(docs)
-    return led.where(quality_rules.passes(quality_rules.CURRENT)).select(*docs.columns)
+    return where_computed(led, quality_rules.passes(quality_rules.CURRENT)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
