@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltine.llm import exact_dedup as exact
-from basaltine.llm import chat, license_scan, mixing, pieces, quality_rules, simhash, token_counts, words
+from basaltine.llm import chat, license_scan, mixing, pieces, quality_rules, simhash, surrogates, token_counts, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,12 @@ FROM n JOIN d USING (license) WHERE c / d.m >= 0.8 GROUP BY doc_id, license
 
 QUERIES["op1_license_scan"] = op1_license_scan
 ORACLES["op1_license_scan"] = _license_sql()
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs, key="surrogates-1").select("doc_id", "text", "n_entities", "kinds")
+
+
+QUERIES["op9_pii_surrogates"] = op9_pii_surrogates
