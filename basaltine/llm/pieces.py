@@ -284,7 +284,7 @@ def encoded(model: PieceModel, text: Column) -> Column:
         for texts in batches:
             yield pd.Series(model.encode(texts.tolist()), dtype=object)
 
-    return F.pandas_udf(run, "array<int>", F.PandasUDFType.SCALAR_ITER)(whole(text))
+    return F.pandas_udf(run, "array<int>")(whole(text))
 
 
 def decoded(model: PieceModel, ids: Column) -> Column:
@@ -294,7 +294,7 @@ def decoded(model: PieceModel, ids: Column) -> Column:
         for arrays in batches:
             yield pd.Series([model.decode(np.asarray(a)) for a in arrays], dtype=object)
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(ids)
+    return F.pandas_udf(run, "string")(ids)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

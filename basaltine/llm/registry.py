@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltine.llm import exact_dedup as exact
-from basaltine.llm import chat, license_scan, mixing, pieces, quality_rules, simhash, surrogates, token_counts, words
+from basaltine.llm import chat, license_scan, mixing, pieces, quality_rules, simhash, surrogates, token_counts, toxicity, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,17 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_pii_surrogates"] = op9_pii_surrogates
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document; the model learns only from labels outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    sample = toxicity.labelled_sample(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.toxicity(docs, toxicity.fit(*sample))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans")
+    )
+
+
+QUERIES["op3_toxicity"] = op3_toxicity

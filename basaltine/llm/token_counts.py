@@ -127,6 +127,6 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         for texts in batches:
             yield pd.Series(bpe.count_all(texts.tolist()), dtype="int64")
 
-    counted = F.pandas_udf(count, "long", F.PandasUDFType.SCALAR_ITER)
+    counted = F.pandas_udf(count, "long")
     out = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(whole(text)).cast("long").alias("n_bytes"), counted(whole(text)).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
