@@ -35,10 +35,13 @@ UNIGRAM, BPE = 1, 2
 #: What an unknown character costs below the lowest score of a unigram model. Fixed value of the public library.
 UNKNOWN_PENALTY = 10.0
 #: Words that a worker remembers; characters of words in one matrix; characters of texts that are encoded together.
-REMEMBERED, MATRIX, TOGETHER = 500_000, 1 << 18, 1 << 21
-_HASH = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[str, dict[str, tuple[int, ...]]] = {}
-_agree: dict[str, dict[int, bool]] = {}
+REMEMBERED, MATRIX, TOGETHER = 250_000, 1 << 18, 1 << 21
+#: Odd factors: of the rolling hash, and of a bijection that spreads short strings over the buckets.
+_HASH, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Pairs that a worker remembers; leading bits of a hash that find its bucket; texts that leave a task together.
+PAIRS, BUCKET_BITS, ROWS = 2_000_000, 17, 256
+_known: dict[str, dict[str, bytes]] = {}
+_agree: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -98,10 +101,13 @@ class PieceModel:
             singles = [k for k in normal if len(text[k]) == 1]
             self.of_char = {text[k]: k for k in singles}
             # a piece that its own characters do not merge to is never made
-            self.chars = {k: [self.of_char.get(c, self.size) for c in text[k]] for k in normal}
+            chars = [[self.of_char.get(c, self.size) for c in text[k]] if sort[k] == NORMAL else [] for k in range(self.size)]
+            self.char_size = np.array([len(c) for c in chars], np.int64)
+            self.char_start = np.cumsum(self.char_size) - self.char_size
+            self.char_flat = np.array(list(chain.from_iterable(chars)), np.int32)
             several = [k for k in normal if len(text[k]) > 1]
-            flat = np.array(list(chain.from_iterable(self.chars[k] for k in several)), np.int32)
-            left, n = merged(self.table, flat, np.array([len(self.chars[k]) for k in several]), first_only=True)
+            flat = np.array(list(chain.from_iterable(chars[k] for k in several)), np.int32)
+            left, n = merged(self.table, flat, np.array([len(chars[k]) for k in several]), first_only=True)
             ends = np.cumsum(n)
             usable = singles + [k for k, one, e in zip(several, n == 1, ends, strict=True) if one and left[e - 1] == k]
         self.longest = max((len(text[k]) for k in usable), default=1)
@@ -113,7 +119,11 @@ class PieceModel:
         order = np.argsort(keys)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have one hash")
-        self.keys, self.codes, self.length, self.ids = keys[order], codes[order], length[order], np.array(usable)[order]
+        self.keys, self.length, self.ids = keys[order], length[order], np.array(usable)[order]
+        self.bucket = np.searchsorted(self.keys >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
+        self.text_size = np.array([len(t) for t in text], np.int64)
+        self.text_start = np.cumsum(self.text_size) - self.text_size
+        self.text_flat = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)
         joined = sorted({c for k in usable if len(text[k]) > 1 for c in text[k]} - {SPACE})
         inner = "".join(map(re.escape, joined))
         #: Words: characters that occur in longer pieces, with the spaces before them; any other character alone.
@@ -151,31 +161,65 @@ class PieceModel:
         h = np.zeros(codes.shape[0], np.uint64)
         for c in range(codes.shape[1]):
             h = h * _HASH + codes[:, c].astype(np.uint64) + np.uint64(1)
-        return h
+        return h * _SPREAD
 
     def _pairs_agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each pair of pieces, joined, encodes to just these two. -1 as ``a``: nothing before."""
-        known = _agree.setdefault(self.name, {})
-        keys = (a + 1).astype(np.int64) * (self.size + 1) + b
-        keys[(a < 0) | (a == self.size) | (b == self.size)] = -1
-        distinct, back = np.unique(keys, return_inverse=True)
-        todo = [k for k in distinct.tolist() if k >= 0 and k not in known]
-        if len(known) + len(todo) > 8 * REMEMBERED:
-            known.clear()
-            todo = [k for k in distinct.tolist() if k >= 0]
-        for at in range(0, len(todo), MATRIX):
-            part = todo[at : at + MATRIX]
-            lefts, rights = [k // (self.size + 1) - 1 for k in part], [k % (self.size + 1) for k in part]
-            flat = list(chain.from_iterable(self.chars[x] + self.chars[y] for x, y in zip(lefts, rights, strict=True)))
-            sizes = np.array([len(self.chars[x]) + len(self.chars[y]) for x, y in zip(lefts, rights, strict=True)])
-            left, n = merged(self.table, np.array(flat, np.int32), sizes, first_only=True)
-            end = np.cumsum(n)
-            good = (n == 2) & (left[end - 2] == np.array(lefts)) & (left[end - 1] == np.array(rights))
-            known.update(zip(part, good.tolist(), strict=True))
-        return np.array([k < 0 or known[k] for k in distinct.tolist()], bool)[back]
+        good = np.ones(len(a), bool)
+        asked = np.flatnonzero((a >= 0) & (a < self.size) & (b < self.size))
+        if not len(asked):
+            return good
+        wanted, back = np.unique(a[asked] * self.size + b[asked], return_inverse=True)
+        keys, known = _agree.get(self.name, (np.zeros(0, np.int64), np.zeros(0, bool)))
+        at = np.searchsorted(keys, wanted)
+        missing = np.ones(len(wanted), bool)
+        inside = at < len(keys)
+        missing[inside] = keys[at[inside]] != wanted[inside]
+        answer = np.zeros(len(wanted), bool)
+        answer[~missing] = known[at[~missing]]
+        new = wanted[missing]
+        if len(new):
+            answer[missing] = found = self._join_and_merge(new // self.size, new % self.size)
+            if len(keys) + len(new) > PAIRS:
+                keys, known = new, found
+            else:
+                keys, known = np.insert(keys, at[missing], new), np.insert(known, at[missing], found)
+            _agree[self.name] = keys, known
+        good[asked] = answer[back]
+        return good
 
-    def _viterbi(self, codes: np.ndarray) -> list[tuple[int, ...]]:
-        """The ids of each row of a matrix of words of one length; unknown characters have the id ``size``."""
+    def _join_and_merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What the merges of two pieces' characters, joined, say of each pair."""
+        out = []
+        for k in range(0, len(a), MATRIX // 8):
+            x, y = a[k : k + MATRIX // 8], b[k : k + MATRIX // 8]
+            sizes = self.char_size[x] + self.char_size[y]
+            two = np.stack([x, y], axis=1).ravel()
+            n = self.char_size[two]
+            flat = self.char_flat[np.repeat(self.char_start[two] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            left, n = merged(self.table, flat, sizes, first_only=True)
+            end = np.cumsum(n)
+            out.append((n == 2) & (left[end - 2] == x) & (left[end - 1] == y))
+        return np.concatenate(out)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are pieces', and the pieces' places among the sorted keys."""
+        bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        at = self.bucket[bucket]
+        stop = self.bucket[bucket + 1]
+        open_ = np.flatnonzero(at < stop)
+        where, found = [], []
+        while len(open_):
+            same = self.keys[at[open_]] == h[open_]
+            where.append(open_[same])
+            found.append(at[open_[same]])
+            open_ = open_[~same]
+            at[open_] += 1
+            open_ = open_[at[open_] < stop[open_]]
+        return (np.concatenate(where), np.concatenate(found)) if where else (at[:0], at[:0])
+
+    def _viterbi(self, codes: np.ndarray) -> list[bytes]:
+        """The ids (int32) of each row of a matrix of words of one length; unknown characters have the id ``size``."""
         n, length = codes.shape
         prefix = np.zeros((length + 1, n), np.uint64)
         power = np.ones((self.longest + 1, 1), np.uint64)
@@ -187,63 +231,75 @@ class PieceModel:
         best[0] = 0.0
         piece = np.full((length + 1, n), -1, np.int64)
         back = np.zeros((length + 1, n), np.int64)
-        row = np.arange(n)
         for e in range(1, length + 1):
             spans = np.arange(min(e, self.longest), 0, -1)
-            starts = e - spans
-            h = prefix[e] - prefix[starts] * power[spans]
-            at = np.minimum(np.searchsorted(self.keys, h.ravel()), len(self.keys) - 1).reshape(h.shape)
-            hit = (self.keys[at] == h) & (self.length[at] == spans[:, None])
-            s, w = np.nonzero(hit)
-            for k in range(int(spans[0])):  # the characters themselves
-                inside = k < spans[s]
-                hit[s[inside], w[inside]] &= self.codes[at[s[inside], w[inside]], k] == codes[w[inside], starts[s[inside]] + k]
-            ids = np.where(hit, self.ids[at], self.size)
-            hit[-1] = True  # a character on its own, known or not
-            gain = best[starts] + (self.score[ids] if self.kind == UNIGRAM else 0.0)
-            gain[~hit] = -np.inf
-            if self.kind == BPE:
-                s, w = np.nonzero(np.isfinite(gain))
-                gain[s, w] = np.where(self._pairs_agree(piece[starts[s], w], ids[s, w]), 0.0, -np.inf)
-            top = np.argmax(gain, axis=0)
-            best[e], piece[e], back[e] = gain[top, row], ids[top, row], starts[top]
-        out = []
-        for w in range(n):
-            ids, e = [], length
-            while e:
-                ids.append(int(piece[e, w]))
-                e = int(back[e, w])
-            out.append(tuple(reversed(ids)))
-        return out
-
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each word, unknown characters as their bytes (or the unknown piece)."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+            h = prefix[e] - prefix[e - spans] * power[spans]
+            where, at = self._find(h.ravel() * _SPREAD)
+            s, w = np.divmod(where, n)
+            fits = self.length[at] == spans[s]
+            ids = np.full(h.shape, -1, np.int64)
+            ids[s[fits], w[fits]] = self.ids[at[fits]]
+            lone = ids[-1] < 0  # a character that is no piece
+            ids[-1, lone] = self.size
+            if self.kind == UNIGRAM:
+                gain = np.where(ids >= 0, best[e - spans] + self.score[ids], -np.inf)
+                top = np.argmax(gain, axis=0)
+            else:
+                # just one piece agrees with what is before it
+                gain = np.where(ids >= 0, best[e - spans], -np.inf)
+                s, w = np.nonzero(gain == 0.0)
+                gain[s, w] = np.where(self._pairs_agree(piece[e - spans[s], w], ids[s, w]), 0.0, -np.inf)
+                top = np.argmax(gain, axis=0)
+            row = np.arange(n)
+            best[e], piece[e], back[e] = gain[top, row], ids[top, row], e - spans[top]
+        steps, end = [], np.full(n, length)
+        row = np.arange(n)
+        while end.any():
+            steps.append(np.where(end > 0, piece[end, row], -1))
+            end = np.where(end > 0, back[end, row], 0)
+        path = np.array(steps[::-1], np.int32).reshape(-1, n).T
+        used = path >= 0
+        self._check(codes, path, used)
+        flat, ends = path[used], np.cumsum(used.sum(axis=1)).tolist()
+        data = flat.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _check(self, codes: np.ndarray, path: np.ndarray, used: np.ndarray) -> None:
+        """That the pieces of each path spell its word: hashes alone decide nothing."""
+        ids = path[used]
+        sizes = np.where(ids < self.size, self.text_size[np.minimum(ids, self.size - 1)], 1)
+        total = np.bincount(np.nonzero(used)[0], sizes, len(codes))
+        spelled = self.text_flat[np.repeat(self.text_start[np.minimum(ids, self.size - 1)] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        known = np.repeat(ids < self.size, sizes)
+        if (total != codes.shape[1]).any() or (spelled[known] != codes.ravel()[known]).any():
+            raise ValueError("the hash of a piece met that of another string")
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids (int32) of each word, unknown characters as their bytes (or the unknown piece)."""
+        out: list[bytes] = [b""] * len(words)
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
+        other = np.int32(self.size).tobytes()
         for length, group in by_length.items():
             step = max(1, MATRIX // max(1, length))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 codes = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "replace"), np.uint32).reshape(len(part), length)
                 for k, ids in zip(part, self._viterbi(codes), strict=True):
-                    if self.size in ids:
-                        ids = tuple(chain.from_iterable(self._unknown(words[k], ids)))
-                    out[k] = ids
+                    out[k] = self._unknown(words[k], ids) if other in ids else ids
         return out
 
-    def _unknown(self, word: str, ids: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        at = 0
-        text = {k: t for t, k in self.of_text.items()} if not hasattr(self, "_texts") else self._texts
-        self._texts = text
-        for k in ids:
+    def _unknown(self, word: str, ids: bytes) -> bytes:
+        at, out = 0, []
+        for k in np.frombuffer(ids, np.int32).tolist():
             if k < self.size:
-                yield (k,)
-                at += len(text[k])
+                out.append(k)
+                at += int(self.text_size[k])
             else:
-                yield tuple(self.byte_ids[b] for b in word[at].encode()) if self.byte_ids else (self.unknown,)
+                out += [self.byte_ids[b] for b in word[at].encode()] if self.byte_ids else [self.unknown]
                 at += 1
+        return np.array(out, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; new words of many texts are encoded together."""
@@ -269,12 +325,16 @@ class PieceModel:
         if new:
             todo = list(new)
             known.update(zip(todo, self.encode_words(todo), strict=True))
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32) for words in texts]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in texts]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; bytes that are no UTF-8 become U+FFFD."""
-        text = b"".join(map(self.decoded.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return _decode(self.decoded, self.dummy_prefix, ids)
+
+
+def _decode(pieces: list[bytes], dummy_prefix: bool, ids: np.ndarray) -> str:
+    text = b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    return text[1:] if dummy_prefix and text.startswith(" ") else text
 
 
 def encoded(model: PieceModel, text: Column) -> Column:
@@ -282,7 +342,8 @@ def encoded(model: PieceModel, text: Column) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(model.encode(texts.tolist()), dtype=object)
+            for at in range(0, len(texts), ROWS):
+                yield pd.Series(model.encode(texts.iloc[at : at + ROWS].tolist()), dtype=object)
 
     return F.pandas_udf(run, "array<int>")(whole(text))
 
@@ -290,9 +351,12 @@ def encoded(model: PieceModel, text: Column) -> Column:
 def decoded(model: PieceModel, ids: Column) -> Column:
     """The text of an array of ids."""
 
+    pieces, dummy_prefix = model.decoded, model.dummy_prefix
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for arrays in batches:
-            yield pd.Series([model.decode(np.asarray(a)) for a in arrays], dtype=object)
+            for at in range(0, len(arrays), ROWS):
+                yield pd.Series([_decode(pieces, dummy_prefix, np.asarray(a)) for a in arrays.iloc[at : at + ROWS]], dtype=object)
 
     return F.pandas_udf(run, "string")(ids)
 
