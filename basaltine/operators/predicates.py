@@ -68,11 +68,13 @@ def invert(a: Column) -> Column:
 
 def positions(df: DataFrame, predicate: Column, row_id: str) -> DataFrame:
     """The row ids that a mask selects."""
-    return df.where(mask(predicate)).select(row_id)
+    return df.where(predicate).select(row_id)
 
 
 def select_measures(df: DataFrame, ranges: dict[str, tuple[int, int]], measures: list[str]) -> DataFrame:
     """count, sum, min and max of several measures under one selection by ranges; no ranges: all rows."""
-    chosen = df.where(all_of(*[between(c, a, b) for c, (a, b) in ranges.items()]))
+    chosen = df
+    for c, (a, b) in ranges.items():
+        chosen = chosen.where(between(c, a, b))
     per = [f(F.col(m)).alias(f"{n}_{m}") for m in measures for n, f in (("count", F.count), ("sum", lambda c: F.coalesce(F.sum(c), F.lit(0))), ("min", F.min), ("max", F.max))]
     return chosen.agg(*per)

@@ -110,7 +110,7 @@ def rerank(df: DataFrame, vector: str, row_id: str, query: Sequence[float], k: i
 
 def hybrid(df: DataFrame, predicate: Column, vector: str, row_id: str, query: Sequence[float], k: int, kind: str = "l2") -> DataFrame:
     """The k best among the rows that a predicate selects: the filter reaches the scan, only they are scored."""
-    return nearest(df.where(F.coalesce(predicate, F.lit(False))), vector, row_id, query, k, kind)
+    return nearest(df.where(predicate), vector, row_id, query, k, kind)
 
 
 def check_range(low: int, high: int) -> None:

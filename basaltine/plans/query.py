@@ -86,7 +86,9 @@ class Query:
 
     def _matching(self) -> DataFrame:
         rows = self.rows if self.store is None else self.store._rows(self.name, self._surviving())
-        return rows.where(all_of(*[p.test() for p in self.predicates])) if self.predicates else rows
+        for p in self.predicates:  # plain filters, which reach the scan; null fails them as it fails a mask
+            rows = rows.where(p.test())
+        return rows
 
     def execute(self) -> DataFrame:
         """row_id and the selected columns (all by default) of the matching rows."""
