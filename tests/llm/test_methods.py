@@ -1,0 +1,251 @@
+"""The operators against brute force, libraries, round trips and held-out labels."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from basaltine.llm import chat, components, exact_dedup, license_scan, mixing, pieces, quality_rules, registry, simhash, surrogates, toxicity
+from basaltine.llm.merges import MergeTable, merged
+from basaltine.llm.token_counts import ByteBpe
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def slow_fingerprint(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), 42) for k in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(ids, linked):
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in linked:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("limit", [simhash.BUCKET, 3])
+def test_simhash_components(documents, limit):
+    found = simhash.near_duplicates(documents, limit=limit).toPandas()
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    fp = {i: slow_fingerprint(t) for i, t in texts.items()}
+    ids = sorted(fp)
+    want = groups(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 3])
+    assert {r.doc_id: (r.fingerprint & (1 << 64) - 1, r.component_id) for r in found.itertuples()} == {i: (fp[i], want[i]) for i in ids}
+
+
+def test_index_links_dense_buckets():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 48, (80, 2)).astype(np.uint64)).sum(axis=1, dtype=np.uint64) for b in base]))
+    fps = np.unique(np.concatenate([fps, fps ^ np.uint64(7 << 50)]))
+    a, b = simhash.spanning_links(fps, np.zeros(len(fps), np.int64))
+    near = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3]
+    place = {int(f): k for k, f in enumerate(fps)}
+    assert groups(range(len(fps)), near) == groups(range(len(fps)), [(place[int(x)], place[int(y)]) for x, y in zip(a, b, strict=True)])
+
+
+def test_components_of_a_long_path(spark):
+    n = 300
+    order = random.Random(2).sample(range(n), n)
+    edges = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(1000, 1001)], "a long, b long")
+    found = {r["u"]: r["v"] for r in components.components(edges).collect()}
+    assert found == {i: 0 for i in range(1, n)} | {1001: 1000}
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_block_names(spark, bits):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 12))) for _ in range(200)] + ["é" * 9, "É" * 9, "ABa", "x" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in exact_dedup.exact_dedup(df, block_bytes=2, route_bits=bits).collect()}
+    same = {}
+    for i, t in enumerate(texts):
+        same.setdefault("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t), []).append(i)
+    for ids in same.values():
+        for i in ids:
+            assert (found[i]["keep_id"], found[i]["group_size"], found[i]["kept"]) == (max(ids), len(ids), i == max(ids))
+
+
+def test_token_counts_match_the_library(tokenizers):
+    lib, own = Tokenizer.from_file(tokenizers[0]), ByteBpe(tokenizers[0])
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aabbct he\n\t '<|endoftext|>s.é中01##A") for _ in range(rng.randrange(90))) for _ in range(3000)]
+    texts += ["a" * n for n in range(120)] + ["", "<|endoftext|>x<|endoftext|>", " " * 70 + "x", "ab" * 4000]
+    assert own.count_all(texts) == [len(e) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=14), min_size=1, max_size=8), st.booleans())
+def test_merges_follow_the_plain_loop(sequences, first_only):
+    pairs = [(0, 1, 4), (4, 1, 5), (2, 2, 6), (5, 6, 7), (0, 0, 8), (8, 0, 9)]
+    left, right, made = (np.array([p[k] for p in pairs]) for k in range(3))
+    table = MergeTable(left, right, np.arange(len(pairs)), made, 10)
+    rank = {(a, b): (r, m) for r, (a, b, m) in enumerate(pairs)}
+
+    def plain(s):
+        s = list(s)
+        while found := [(rank[s[i], s[i + 1]][0], i) for i in range(len(s) - 1) if (s[i], s[i + 1]) in rank]:
+            i = min(found)[1]
+            s[i : i + 2] = [rank[s[i], s[i + 1]][1]]
+        return s
+
+    flat = np.array([x for s in sequences for x in s], np.int32)
+    symbols, n = merged(table, flat, np.array([len(s) for s in sequences]), first_only)
+    assert n.tolist() == [len(plain(s)) for s in sequences] and symbols.tolist() == [x for s in sequences for x in plain(s)]
+
+
+def test_pieces_match_the_library(documents, tokenizers):
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=tokenizers[1]), pieces.PieceModel.load(tokenizers[1])
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aabbct he\n\t éß中0123..##A▁\U0001f600ñ") for _ in range(rng.randrange(60))) for _ in range(1500)]
+    texts += ["", " ", "a" * 333, " " * 40, "<0x41></s><unk>", "\x00"] + [r["text"] for r in documents.collect()]
+    ids = own.encode(texts)
+    want = lib.encode(texts)
+    assert [i.tolist() for i in ids] == want
+    assert [own.decode(i) for i in ids] == [lib.decode(w) for w in want]
+
+
+def test_unigram_paths_are_the_best():
+    vocabulary = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.1, 1), ("ba", -3.0, 1), ("aba", -6.9, 1), ("▁a", -4.2, 1)]
+    model = pieces.PieceModel(vocabulary, pieces.UNIGRAM, False)
+    score = {t: s for t, s, k in vocabulary if k == 1}
+
+    def best(word):
+        top = [(0.0, ())] + [(-1e9, ())] * len(word)
+        for e in range(1, len(word) + 1):
+            for s in range(e):
+                if word[s:e] in score and top[s][0] + score[word[s:e]] > top[e][0]:
+                    top[e] = (top[s][0] + score[word[s:e]], (*top[s][1], word[s:e]))
+        return top[-1][1]
+
+    for n in range(64):
+        word = "▁" + "".join("ab"[n >> k & 1] for k in range(n % 7))
+        ids = np.frombuffer(model.encode_words([word])[0], np.int32)
+        assert sum(score[vocabulary[i][0]] for i in ids) == pytest.approx(sum(score[p] for p in best(word)))
+
+
+def test_quality_ledger_and_ablation(spark):
+    texts = ["one two three " * 40, "x " * 10, " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k} $" for k in range(60)), "a b c d a b c e " + " ".join(f"v{k}" for k in range(60))]
+    led = quality_rules.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {r["doc_id"]: r for r in led.collect()}
+    assert [rows[k]["n_repeat_words"] for k in range(5)] == [120, 10, 0, 0, 6]
+    assert [rows[k]["failed"] for k in range(5)] == [2, 3, 0, 4, 0]
+    found = {r["rule"]: (r["rejected"], r["rejected_alone"]) for r in quality_rules.ablation(led, "v1").collect()}
+    assert found == {"few_words": (1, 0), "repeated_windows": (2, 1), "symbols": (1, 1), "repeated_lines": (0, 0)}
+    assert led.where(quality_rules.passes("base")).count() == 3
+
+
+def test_mix_reaches_its_targets(spark):
+    rng = random.Random(9)
+    data = [(k, "w " * rng.randrange(0, 40), "abcdefg"[min(6, rng.randrange(12))]) for k in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = mixing.mix(df).toPandas()
+    assert out["taken"].sum() == pytest.approx(1.5 * out["size"].sum(), rel=0.01)
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 20 and g["target"].iloc[0] <= 2 * g["source_size"].iloc[0] + 1e-6
+    assert out.sort_values("doc_id")["taken"].tolist() == mixing.mix(df.repartition(7)).toPandas().sort_values("doc_id")["taken"].tolist()
+
+
+def test_licenses_in_altered_notices(spark):
+    grant = license_scan.TEMPLATES["mit-grant"]
+    texts = ["x " * 100 + grant.upper().replace(" ", "\n") + " y" * 100, grant.replace("copy of this software", "duplicate of this software"), "Licensed under the terms", "word " * 500]
+    found = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["license"]): (r["first_word"], r["places"]) for r in found}
+    assert got[0, "mit-grant"] == (100, 1) and (1, "mit-grant") in got and len(got) == 2
+
+
+def test_reply_trees(spark):
+    messages = [(1, 0, None, "user", "hi", 0.0), (1, 1, 0, "assistant", "bad", 1.0), (1, 2, 0, "assistant", "good </turn> ### x", 5.0), (1, 3, 2, "user", "\\### y", None), (2, 9, 77, "system", None, 0.0)]
+    df = spark.createDataFrame(messages, "conv long, node long, parent long, role string, text string, score double")
+    out = {(r["conv"], r["place"]): r for r in chat.format_trees(df, best=2).collect()}
+    assert set(out) == {(1, 1), (1, 2), (2, 1)} and out[1, 1]["leaf"] == 3 and out[1, 2]["leaf"] == 1
+    both = spark.createDataFrame([(out[1, 1]["formatted"], out[1, 1]["loss_spans"])], "f string, s array<struct<start: long, end: long>>")
+    turns, loss = both.select(chat.read_back(F.col("f")), chat.loss_text(F.col("f"), F.col("s"))).first()
+    assert [tuple(t) for t in turns] == [("user", "hi"), ("assistant", "good </turn> ### x"), ("user", "\\### y")] and loss == "good </turn> ### x"
+    ring = spark.createDataFrame([(1, 0, 1, 0.0), (1, 1, 0, 0.0)], "conv long, node long, parent long, score double")
+    with pytest.raises(ValueError):
+        chat.ROUNDS, kept = 4, chat.ROUNDS
+        try:
+            chat.chosen_paths(ring)
+        finally:
+            chat.ROUNDS = kept
+
+
+def test_escapes_hide_every_mark(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["\\", "#", "##", "<", "</turn>", "/turn>", "a", "\n", ": "]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escaped(F.col("t")).alias("e"), chat.unescaped(chat.escaped(F.col("t"))).alias("u")).collect()
+    assert all(r["t"] == r["u"] and "###" not in r["e"] and "</turn>" not in r["e"] for r in rows)
+
+
+def test_surrogates_are_consistent(spark):
+    texts = ["Mail Ann.Lee@mail.example.org now", "ann.lee@mail.example.org and +1 (499) 555-6503, +1-499-555-6503", "card 4337166598464399 or 4337 1665 9846 4399", "Mrs. Anna Ivanova and Mr. Ivanova", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6", 8.196.197.208', "clean 12 apples, version 2.0."]
+    out = [r["text"] for r in surrogates.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    again = re.findall(r"[\w.]+@[\w.]+", out[0] + " " + out[1])
+    assert again[0] == again[1] != "ann.lee@mail.example.org"
+    digits = [re.sub(r"\D", "", p) for p in re.findall(r"\+[\d() -]+\d", out[1])]
+    assert digits[0] == digits[1] and digits[0][0] == "1" and digits[0] != "14995556503"
+    assert out[2].split()[1] == "".join(out[2].split()[3:]) != "4337166598464399"
+    assert out[3].split()[2] == out[3].split()[5] and out[3].split()[1].endswith("a") and "Ivanova" not in out[3]
+    assert re.search(r'token = "[0-9a-f]{40}"', out[4]) and "1eb9c6" not in out[4] and " 10." in out[4] and out[5] == texts[5]
+
+
+def test_colliding_surrogates_move_on(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "_surrogate", lambda key: F.concat(F.lit("s"), F.pmod(F.xxhash64("canon", "attempt"), F.lit(40)).cast("string")))
+    entities = spark.createDataFrame([("x", f"s{k}" if k < 3 else f"c{k}", "") for k in range(20)], "kind string, canon string, gender string")
+    found = surrogates.surrogates(entities, "k").collect()
+    assert len(found) == 20 == len({r["surrogate"] for r in found}) and not {"s0", "s1", "s2"} & {r["surrogate"] for r in found}
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    found = registry.op3_toxicity(spark, "/root/testdata/sf0.01").toPandas()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
+    both = found.merge(labels, on="doc_id")
+    held = both[both["held_out"]]
+    assert len(found) == 1000 and all(found["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in found["doc_id"]])
+    assert (held["predicted"] == held["toxic"]).mean() > 0.9
+    toxic, clean = both[both["toxic"] == 1]["score"].to_numpy(), both[both["toxic"] == 0]["score"].to_numpy()
+    assert (toxic[:, None] > clean[None]).mean() > 0.9
+
+
+def test_chain_marginals_are_exact():
+    rng = np.random.default_rng(3)
+    trans, start, lengths = rng.normal(size=(2, 2)), 0.3, np.array([5, 1, 0, 4])
+    emit = rng.normal(size=10)
+    ahead, behind = toxicity.chains(emit, lengths, start, trans)
+    at = 0
+    for n in lengths:
+        e = emit[at : at + n]
+        total, ones = 0.0, np.zeros(n)
+        for y in range(1 << n):
+            tags = [y >> k & 1 for k in range(n)]
+            w = np.exp(sum(e[k] * tags[k] for k in range(n)) + (start * tags[0] if n else 0) + sum(trans[tags[k - 1], tags[k]] for k in range(1, n)))
+            total += w
+            ones += w * np.array(tags)
+        assert np.allclose(1 / (1 + np.exp(-(ahead + behind)[at : at + n])), ones / total)
+        at += n
