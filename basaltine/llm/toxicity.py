@@ -22,13 +22,13 @@ from basaltine.llm.ship import ship
 from basaltine.llm.words import whole
 
 #: Bounds of the sample that the model is fitted on: toxic and clean documents.
-TOXIC, CLEAN = 2000, 4000
+TOXIC, CLEAN = 1500, 3000
 #: Hashed features, lengths of word beginnings, tokens in a training chain, training rounds.
 FEATURES, BEGINNINGS, CHAIN, ROUNDS = 1 << 18, (3, 4, 5, 6), 64, 80
 #: A word or beginning labels tokens where its likelihood ratio is at least this, and it is this much likelier in toxic documents.
 LIKELIHOOD, LIFT = 14.0, 8.0
-#: Words that a worker remembers, tokens that are scored together.
-REMEMBERED, TOGETHER = 500_000, 1 << 21
+#: Words that a worker remembers, tokens that are scored together, texts that leave a task together.
+REMEMBERED, TOGETHER, ROWS = 300_000, 1 << 20, 512
 TOKEN = re.compile(r"\w+")
 _known: dict[int, dict[str, float]] = {}
 
@@ -146,15 +146,24 @@ def _summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.c_[np.ones(len(lengths)), np.log(most / (1 - most)) / 4, np.log(1e-3 + total), np.log1p(lengths) / 4]
 
 
-def _toxic_marks(words: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Words and beginnings that are far likelier in toxic documents."""
-    counts = [Counter(), Counter()]
-    for w, t in zip(words, toxic, strict=True):
-        counts[int(t)].update({m for x in w for m in _marks(x)})
+def _toxic_marks(texts: list[str], toxic: np.ndarray) -> set[str]:
+    """Words and beginnings that are far likelier in toxic documents; texts are read one at a time."""
+
+    def of(text: str) -> set[str]:
+        return {m for w in set(TOKEN.findall(text)) for m in _marks(w)}
+
+    counts: Counter = Counter()
+    for t in np.flatnonzero(toxic):
+        counts.update(of(texts[t]))
+    # rarer ones cannot reach the likelihood ratio
+    counts = Counter({m: n for m, n in counts.items() if n >= 3})
+    clean: Counter = Counter()
+    for t in np.flatnonzero(~toxic):
+        clean.update(of(texts[t]) & counts.keys())
     n1, n0 = toxic.sum(), (~toxic).sum()
-    marks = list(counts[1])
-    k1 = np.array([counts[1][m] for m in marks], float)
-    k0 = np.array([counts[0][m] for m in marks], float)
+    marks = list(counts)
+    k1 = np.array([counts[m] for m in marks], float)
+    k0 = np.array([clean[m] for m in marks], float)
 
     def part(k: np.ndarray, n: float, q: np.ndarray) -> np.ndarray:
         return k * np.log(np.maximum(k / n, 1e-12) / q) + (n - k) * np.log(np.maximum(1 - k / n, 1e-12) / np.maximum(1 - q, 1e-12))
@@ -181,29 +190,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.0, 1.0), rounds: int = ROUNDS) -> ToxicModel:
     """A model from texts labelled 0 or 1; ``weight``: what a clean and a toxic text stand for in the corpus."""
     toxic = np.array(labels, bool)
-    words = [TOKEN.findall(t) for t in texts]
     trans0, start0 = np.array([[0.0, -3.0], [-0.5, -1.0]]), -3.0
     weights = np.zeros(FEATURES)
     name = xxhash.xxh32_intdigest(repr((len(texts), labels[:100], [t[:20] for t in texts[:100]])).encode())
     document = np.array([-3.0, 0, 0, 0])
     if toxic.all() or not toxic.any():
         return ToxicModel(weights, start0, trans0, np.array([4.0 if len(labels) and toxic.all() else -4.0, 0, 0, 0]), name)
-    marks = _toxic_marks([set(w) for w in words], toxic)
+    marks = _toxic_marks(texts, toxic)
     ids: dict[str, int] = {}
-    flat = [np.array([ids.setdefault(w, len(ids)) for w in ws], np.int64) for ws in words]
-    feats = np.array([_features(w) for w in ids]).reshape(len(ids), -1)
+    flat = [np.array([ids.setdefault(w, len(ids)) for w in TOKEN.findall(t)], np.int32) for t in texts]
+    feats = np.array([_features(w) for w in ids], np.int32).reshape(len(ids), len(BEGINNINGS) + 2)
     is_toxic = np.array([not marks.isdisjoint(_marks(w)) for w in ids], bool)
     tokens, tags, lengths = [], [], []
     for x, t in zip(flat, toxic, strict=True):
         for at in range(0, len(x), CHAIN):
             part = x[at : at + CHAIN]
             tag = is_toxic[part] & t
-            # every chain with a toxic token, and the first two chains of each text
-            if tag.any() or at < 2 * CHAIN:
+            # every chain with a toxic token, and the first chain of each text
+            if tag.any() or at == 0:
                 tokens.append(part)
                 tags.append(tag)
                 lengths.append(len(part))
     token, tag, length = np.concatenate(tokens), np.concatenate(tags), np.array(lengths)
+    del ids, tokens, tags
     first = np.zeros(len(token), bool)
     first[np.cumsum(length) - length] = True
     inner = np.flatnonzero(~first)
@@ -216,7 +225,7 @@ def fit(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.0,
         ahead, behind = chains(emit, length, start, trans)
         p = _sigmoid(ahead + behind)
         off = tag - p
-        by_word = np.bincount(token, off, len(ids))
+        by_word = np.bincount(token, off, len(feats))
         g_w = np.bincount(feats.ravel(), np.repeat(by_word, feats.shape[1]), FEATURES) - 0.02 * weights
         before, after = ahead[inner - 1], emit[inner] + behind[inner]
         logs = np.stack([np.zeros(len(inner)) + trans[0, 0], trans[0, 1] + after, trans[1, 0] + before, trans[1, 1] + before + after])
@@ -231,9 +240,13 @@ def fit(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.0,
         trans += step[FEATURES : FEATURES + 4].reshape(2, 2)
         start += step[-1]
     model = ToxicModel(weights.astype(np.float32), float(start), trans, document, name)
-    p, n = model.marginals(words)
-    _known.pop(name, None)
-    model.document = _logistic(_summary(p, n), toxic.astype(float), np.where(toxic, weight[1], weight[0]))
+    per_word, seen = model.weights[feats].sum(axis=1, dtype=np.float64), []
+    for at in range(0, len(flat), 500):
+        part = flat[at : at + 500]
+        sizes = np.array([len(x) for x in part])
+        ahead, behind = chains(per_word[np.concatenate(part)], sizes, model.start, model.trans)
+        seen.append(_summary(_sigmoid(ahead + behind), sizes))
+    model.document = _logistic(np.concatenate(seen), toxic.astype(float), np.where(toxic, weight[1], weight[0]))
     return model
 
 
@@ -259,8 +272,9 @@ def scored(model: ToxicModel, text: Column) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            scores, spans = model.score(texts.tolist())
-            yield pd.DataFrame({"score": scores, "spans": [[{"start": a, "end": b} for a, b in s] for s in spans]})
+            for at in range(0, len(texts), ROWS):
+                scores, spans = model.score(texts.iloc[at : at + ROWS].tolist())
+                yield pd.DataFrame({"score": scores, "spans": [[{"start": a, "end": b} for a, b in s] for s in spans]})
 
     kind = "struct<score: double, spans: array<struct<start: bigint, end: bigint>>>"
     return F.pandas_udf(run, kind)(whole(text))
