@@ -56,19 +56,24 @@ def chosen_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
             "conv", "node", F.col("b_node").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth")
         )
     )
-    jumps = []
-    while not jump.where("up is not null").isEmpty():
+    # messages still on their way up, and those that have reached their root; only the former go on
+    jumps, arrived = [], jump.where("up is null")
+    jump = jump.where("up is not null")
+    while not jump.isEmpty():
         if len(jumps) == ROUNDS:
             raise ValueError("the parents of some messages form a cycle")
         jumps.append(jump)
-        above = jump.select(F.col("conv").alias("b_conv"), F.col("node").alias("b_node"), F.col("up").alias("b_up"), F.col("total").alias("b_total"), F.col("depth").alias("b_depth"))
-        jump = saved(
-            jump.join(above, _on(jump, above, up="b_node"), "left").select(
-                "conv", "node", F.col("b_up").alias("up"), (F.col("total") + F.coalesce("b_total", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("b_depth", F.lit(0))).alias("depth")
+        above = jump.unionByName(arrived)
+        above = above.select(F.col("conv").alias("b_conv"), F.col("node").alias("b_node"), F.col("up").alias("b_up"), F.col("total").alias("b_total"), F.col("depth").alias("b_depth"))
+        further = saved(
+            jump.join(above, _on(jump, above, up="b_node")).select(
+                "conv", "node", F.col("b_up").alias("up"), (F.col("total") + F.col("b_total")).alias("total"), (F.col("depth") + F.col("b_depth")).alias("depth")
             )
         )
+        arrived = arrived.unionByName(further.where("up is null"))
+        jump = further.where("up is not null")
     parents = nodes.where("parent is not null").select(F.col("conv").alias("b_conv"), F.col("parent").alias("b_node")).distinct()
-    leaves = jump.join(parents, _on(jump, parents, node="b_node"), "left_anti")
+    leaves = arrived.join(parents, _on(arrived, parents, node="b_node"), "left_anti")
     rank = F.struct((-F.col("total")).alias("t"), (-F.col("depth")).alias("d"), F.col("node").alias("leaf"))
     if best == 1:
         top = leaves.groupBy("conv").agg(F.min(rank).alias("r")).select("conv", F.col("r.leaf").alias("leaf"), F.lit(1).alias("place"))
@@ -78,7 +83,7 @@ def chosen_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     paths = top.select("conv", "leaf", "place", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance"))
     for k in reversed(range(len(jumps))):
         paths = saved(paths)
-        up = jumps[k].where("up is not null").select(F.col("conv").alias("b_conv"), F.col("node").alias("b_node"), F.col("up").alias("b_up"))
+        up = jumps[k].select(F.col("conv").alias("b_conv"), F.col("node").alias("b_node"), F.col("up").alias("b_up"))
         further = paths.join(up, _on(paths, up, node="b_node")).select("conv", "leaf", "place", F.col("b_up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
         paths = paths.unionAll(further)
     return paths
