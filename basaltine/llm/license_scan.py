@@ -12,10 +12,15 @@ hashes, are then compared with the template's: it is found where at least ``CONT
 The templates are a fixed table: their bands are a set of literals, and the join with them broadcasts a few rows. Only
 texts in which a template's band value occurs at all go beyond the hashes of their shingles, within a row; the only
 shuffle is of the places found.
+
+A template of fewer than five words is one shingle of all its words: it is found wherever a text has just these words,
+which are compared as words from the start.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ from basaltine.llm.words import where_computed, whole
 SHINGLE, WINDOW, BANDS, CONTAINED = 5, 64, 65536, 0.8
 #: Words for this scan: letters and digits, with inner dots, hyphens and apostrophes.
 TOKEN = r"[\p{L}\p{N}]+(?:[.'-][\p{L}\p{N}]+)*"
-#: The notices that public licenses ask for, five words or more.
+#: The notices that public licenses ask for, and the bare line of works under none.
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -40,6 +45,7 @@ TEMPLATES = {
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "unlicense-notice": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
+    "all-rights-reserved-line": "All rights reserved.",
 }
 
 
@@ -74,22 +80,49 @@ def template_bands(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -
     return at.where(_leads(F.col("h"), F.col("offset"))).select("license", "value", "offset", "shingles")
 
 
+def short_places(words: Column, notice: list[str]) -> Column:
+    """Where a text has all words of a short template in a row."""
+    here = F.sequence(F.lit(0), F.size(words) - len(notice))
+
+    def same(i: Column) -> Column:
+        return reduce(lambda x, y: x & y, [F.get(words, i + k) == w for k, w in enumerate(notice)])
+
+    return F.when(F.size(words) >= len(notice), F.filter(here, same)).otherwise(F.array().cast("array<int>"))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
     """One row per document and template found in it: doc_id, license, containment, first_word, places.
 
     ``containment`` is the largest share of the template's shingles at one place, ``first_word`` the first word of the
-    first place and ``places`` how many there are. Null, empty and short texts have no shingles and give no rows, nor
-    does an empty table; repeated rows give their rows each. Other columns are not read. Templates have at least five
-    words, else ValueError.
+    first place and ``places`` how many there are. Null and empty texts and those shorter than every template give no
+    rows, nor does an empty table; repeated rows give their rows each. Other columns are not read. A template has at
+    least one word, else ValueError; one of fewer than five is found only as a whole, with containment 1.
     """
     spark = docs.sparkSession
+    named = spark.createDataFrame(list(templates.items()), "license string, notice string")
+    words = {r["license"]: r["w"] for r in named.select("license", tokens(F.col("notice")).alias("w")).collect()}
+    if not all(words.values()):
+        raise ValueError("a template has no words")
+    short = {k: w for k, w in words.items() if len(w) < SHINGLE}
+    long = {k: t for k, t in templates.items() if k not in short}
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), tokens(whole(text)).alias("w"))
+    found = ([_long_found(base, long, contained)] if long else []) + ([_short_found(base, short)] if short else [])
+    return reduce(DataFrame.unionByName, found)
+
+
+def _short_found(base: DataFrame, short: dict[str, list[str]]) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(k).alias("license"), short_places(F.col("w"), w).alias("at")) for k, w in short.items()])
+    spots = base.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.license", "x.at")
+    some = where_computed(spots, F.size("at") > 0)
+    return some.select("doc_id", "license", F.lit(1.0).alias("containment"), F.get("at", F.lit(0)).cast("long").alias("first_word"), F.size("at").cast("long").alias("places"))
+
+
+def _long_found(base: DataFrame, templates: dict[str, str], contained: float) -> DataFrame:
+    spark = base.sparkSession
     bands = template_bands(spark, templates)
     rows = bands.collect()  # as many as the templates have shingles
-    if {r["license"] for r in rows} != set(templates):
-        raise ValueError("a template has fewer than five words")
     values = sorted({r["value"] for r in rows})
     longest = max(len(r["shingles"]) for r in rows)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), tokens(whole(text)).alias("w"))
     hashed = base.select("row", "doc_id", "w", shingles(F.col("w")).alias("h"))
     some = where_computed(hashed, F.exists("h", lambda x: x.isin(values)))
     places = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get(F.col("h"), i).isin(values))

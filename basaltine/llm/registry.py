@@ -185,9 +185,12 @@ hit AS (SELECT DISTINCT doc_id, license, m, p - o AS first, greatest(2, m // 4)
 n AS (SELECT hit.doc_id, hit.license, first, hit.m, count(DISTINCT ds.s) AS c
       FROM hit JOIN ds ON ds.doc_id = hit.doc_id AND ds.p BETWEEN first - slack AND first + hit.m - 1 + slack
       JOIN ts ON ts.license = hit.license AND ts.s = ds.s GROUP BY ALL),
-d AS (SELECT license, count(DISTINCT s) AS m FROM ts GROUP BY license)
+d AS (SELECT license, count(DISTINCT s) AS m FROM ts GROUP BY license),
+short AS (SELECT doc_id, license, i - 1 AS first FROM dw, unnest(range(1, len(w) + 1)) AS u(i), (SELECT license, w AS notice FROM tw WHERE len(w) < 5)
+          WHERE w[i:i + len(notice) - 1] = notice)
 SELECT doc_id, license, max(c / d.m) AS containment, min(greatest(first, 0))::BIGINT AS first_word, count(DISTINCT greatest(first, 0)) AS places
 FROM n JOIN d USING (license) WHERE c / d.m >= 0.8 GROUP BY doc_id, license
+UNION ALL SELECT doc_id, license, 1.0::DOUBLE, min(first)::BIGINT, count(*) FROM short GROUP BY doc_id, license
 """
 
 

@@ -179,6 +179,17 @@ def test_licenses_in_altered_notices(spark):
     assert got[0, "mit-grant"] == (100, 1) and (1, "mit-grant") in got and len(got) == 2
 
 
+def test_licenses_of_fewer_than_five_words(spark):
+    texts = ["All rights reserved.", "a b\nALL RIGHTS RESERVED, all rights reserved", "all rights were reserved", "small rights reserved", "Reserved", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    line = "all-rights-reserved-line"
+    assert sorted(tuple(r) for r in license_scan.license_scan(df).collect()) == [(0, line, 1.0, 0, 1), (1, line, 1.0, 2, 2)]
+    only = {"one": "reserved", "two": "rights reserved"}
+    assert sorted(tuple(r)[:2] for r in license_scan.license_scan(df, only).collect()) == [(0, "one"), (0, "two"), (1, "one"), (1, "two"), (2, "one"), (3, "one"), (3, "two"), (4, "one")]
+    with pytest.raises(ValueError):
+        license_scan.license_scan(df, {"none": "..."})
+
+
 def test_reply_trees(spark):
     messages = [(1, 0, None, "user", "hi", 0.0), (1, 1, 0, "assistant", "bad", 1.0), (1, 2, 0, "assistant", "good </turn> ### x", 5.0), (1, 3, 2, "user", "\\### y", None), (2, 9, 77, "system", None, 0.0)]
     df = spark.createDataFrame(messages, "conv long, node long, parent long, role string, text string, score double")
