@@ -35,6 +35,15 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_searches_in_whole_texts(spark, duck, rows):
+    docs = duck.execute("SELECT doc_id, text FROM documents").fetchall()
+    assert max(len(t) for _, t in docs) > 2000
+    places = {d: [i for i in range(len(t)) if t.startswith("ana", i)] for d, t in docs}
+    assert rows(q.QUERIES["text_locate"](spark, SF)) == sorted((d, i) for d, at in places.items() for i in at)
+    assert rows(q.QUERIES["text_count_overlap"](spark, SF)) == sorted((d, len(at)) for d, at in places.items())
+    assert rows(q.QUERIES["text_non_ascii"](spark, SF)) == sorted((d, next((i for i, c in enumerate(t) if ord(c) > 127), -1)) for d, t in docs)
+
+
 def test_plans(spark):
     plan = lambda name: q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan("topk_l2") and "TakeOrderedAndProject" in plan("order_top_k")
