@@ -26,11 +26,12 @@ TITLES = {
 }
 _ALL_TITLES = sorted((t for group in TITLES.values() for t in group), key=len, reverse=True)
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+_LABEL = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: The kinds of entities and their patterns, in the order in which they are tried at a place.
 KINDS = {
     "email": r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_-]{8,}",
+    "secret": rf"{_LABEL}\s{{0,2}}[\"']?[A-Za-z0-9+/_-]{{8,}}",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
@@ -40,8 +41,8 @@ KINDS = {
     "name": rf"(?<!\p{{L}})(?:{'|'.join(_ALL_TITLES)})\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: What any entity needs: a digit or a title. Texts without are left alone at once.
-HINT = rf"[\d@]|(?<!\p{{L}})(?:{'|'.join(_ALL_TITLES)})\.? \p{{Lu}}"
+#: What any entity needs: a digit, an at sign, a secret's label, a key's prefix or a title. Texts without are left alone at once.
+HINT = rf"[\d@]|{_LABEL}|AKIA|ASIA|(?<!\p{{L}})(?:{'|'.join(_ALL_TITLES)})\.? \p{{Lu}}"
 #: Tries for a surrogate that meets no other.
 TRIES = 64
 _SOUNDS = {
