@@ -43,8 +43,8 @@ KINDS = {
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any entity needs: a digit, an at sign, a secret's label, a key's prefix or a title. Texts without are left alone at once.
 HINT = rf"[\d@]|{_LABEL}|AKIA|ASIA|(?<!\p{{L}})(?:{'|'.join(_ALL_TITLES)})\.? \p{{Lu}}"
-#: Tries for a surrogate that meets no other.
-TRIES = 64
+#: Tries for a surrogate that meets no other. After the first PLAIN in the format of the original, each has a longer varying part.
+TRIES, PLAIN = 64, 8
 _SOUNDS = {
     "latin": ("bdfgklmnprstvz", "aeiou", "a", "o"),
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", "а", "ий"),
@@ -108,36 +108,44 @@ def _in_format(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), other), "")
 
 
-def _email(canon: Column, stream: Column) -> Column:
-    """Another local part and other inner labels, under a domain that is reserved for examples."""
+def _longer(attempt: Column) -> Column:
+    """1, 2, ...: the characters by which an attempt is longer than the original."""
+    return F.slice(F.sequence(F.lit(1), F.lit(24)), 1, F.least(F.greatest(attempt - PLAIN + 1, F.lit(0)), F.lit(24)))
+
+
+def _email(canon: Column, stream: Column, more: Column) -> Column:
+    """Another local part and other labels but the last, under a domain that is reserved for examples."""
     local, domain = F.substring_index(canon, "@", 1), F.split(F.substring_index(canon, "@", -1), r"\.")
-    inner = F.array_join(F.slice(domain, 1, F.greatest(F.size(domain) - 2, F.lit(0))), ".")
+    inner = F.array_join(F.slice(domain, 1, F.size(domain) - 1), ".")
     ours = _in_format(F.concat(local, F.lit("@"), inner), stream)
     top = F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _number(stream, 63) % 3 + 1)
-    return F.concat(ours, F.when(inner == "", "").otherwise("."), F.lit("example."), top)
+    return F.concat(F.substring_index(ours, "@", 1), more, F.lit("@"), F.substring_index(ours, "@", -1), F.lit(".example."), top)
 
 
-def _card(canon: Column, stream: Column) -> Column:
+def _card(canon: Column, stream: Column, more: Column) -> Column:
     """Another number with the same first digit that passes or fails the check-digit test as this one does."""
-    body = F.concat(F.substring(canon, 1, 1), _in_format(F.substring(canon, F.lit(2), F.length(canon) - 2), stream))
+    body = F.concat(F.substring(canon, 1, 1), _in_format(F.substring(canon, F.lit(2), F.length(canon) - 2), stream), more)
     fits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda n: F.call_function("luhn_check", n) == F.call_function("luhn_check", canon))
     return F.get(fits, 0)
 
 
-def _ip(stream: Column) -> Column:
-    """An address of the private block 10.0.0.0/8."""
-    return F.concat(F.lit("10."), _number(stream, 0), F.lit("."), _number(stream, 1), F.lit("."), _number(stream, 2))
+def _ip(stream: Column, attempt: Column) -> Column:
+    """An address of the private block 10.0.0.0/8; where those run out, a private one of version 6."""
+    four = F.concat(F.lit("10."), _number(stream, 0), F.lit("."), _number(stream, 1), F.lit("."), _number(stream, 2))
+    six = F.concat(F.lit("fd"), F.substring(stream, 1, 2), *[x for k in range(7) for x in (F.lit(":"), F.substring(stream, 3 + 4 * k, 4))])
+    return F.when(attempt < PLAIN, four).otherwise(six)
 
 
-def _phone(canon: Column, stream: Column) -> Column:
+def _phone(canon: Column, stream: Column, more: Column) -> Column:
     """The first digit (of the country code) stays."""
-    return F.concat(F.substring(canon, 1, 1), _in_format(F.substring(canon, F.lit(2), F.length(canon)), stream))
+    return F.concat(F.substring(canon, 1, 1), _in_format(F.substring(canon, F.lit(2), F.length(canon)), stream), more)
 
 
 def _name(key: str, canon: Column, gender: Column, attempt: Column) -> Column:
     """Invented names in the script of the original, each from its own digest, so that a surname alone still agrees.
 
-    The last name is the surname; a given name ends as names of its gender do.
+    The last name is the surname; a given name ends as names of its gender do. Attempts after the first PLAIN have
+    more syllables.
     """
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     parts = F.split(canon, " ")
@@ -148,6 +156,8 @@ def _name(key: str, canon: Column, gender: Column, attempt: Column) -> Column:
 
         def spoken(consonants: str, vowels: str, female: str, male: str) -> Column:
             base = F.concat(*[x for k in range(3) for x in (_one_of(consonants, _number(stream, 2 * k)), _one_of(vowels, _number(stream, 2 * k + 1)))])
+            more = F.transform(_longer(attempt), lambda k: F.concat(_one_of(consonants, _number(stream, 2 * k + 6)), _one_of(vowels, _number(stream, 2 * k + 7))))
+            base = F.concat(base, F.array_join(more, ""))
             end = F.concat(_one_of(consonants, _number(stream, 6)), F.when(gender == "f", female).when(gender == "m", male).otherwise(_one_of(vowels, _number(stream, 7))))
             return F.concat(base, F.when(surname, _one_of(consonants, _number(stream, 6))).otherwise(end))
 
@@ -160,21 +170,25 @@ def _surrogate(key: str) -> Column:
     """The surrogate of (kind, canon, gender) at some attempt, in canonical form."""
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
     stream = _stream(key, kind, canon, attempt.cast("string"), chars=F.greatest(F.length(canon), F.lit(64)))
+    rest = _stream(key, kind, canon, attempt.cast("string"), F.lit("longer"), chars=F.lit(64))
+    more = lambda letters: F.array_join(F.transform(_longer(attempt), lambda k: _one_of(letters, _number(rest, k))), "")
+    digits = more("0123456789")
     return (
-        F.when(kind == "email", _email(canon, stream))
-        .when(kind == "card", _card(canon, stream))
-        .when(kind == "ip", _ip(stream))
-        .when(kind == "phone", _phone(canon, stream))
+        F.when(kind == "email", _email(canon, stream, more("abcdefghijklmnopqrstuvwxyz")))
+        .when(kind == "card", _card(canon, stream, digits))
+        .when(kind == "ip", _ip(stream, attempt))
+        .when(kind == "phone", _phone(canon, stream, digits))
         .when(kind == "cloud_key", F.concat(F.substring(canon, 1, 4), _in_format(F.substring(canon, F.lit(5), F.length(canon)), stream)))
         .when(kind == "name", _name(key, canon, F.col("gender"), attempt))
-        .otherwise(_in_format(canon, stream))
+        .otherwise(F.concat(_in_format(canon, stream), digits))
     )
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Distinct (kind, canon, gender) to their surrogates in canonical form: kind, canon, gender, surrogate.
 
-    No two entities of a kind share a surrogate and none equals an original; RuntimeError if that fails 64 times.
+    No two entities of a kind share a surrogate and none equals an original. Where a format has too few surrogates, the
+    later attempts are longer, a digit, letter or syllable each time, so that all get one; RuntimeError after TRIES.
     """
     done, pending = None, saved(entities.select("kind", "canon", "gender").distinct().withColumn("attempt", F.lit(0)))
     originals = pending.select("kind", F.col("canon").alias("surrogate")).distinct()

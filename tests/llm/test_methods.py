@@ -244,6 +244,26 @@ def test_colliding_surrogates_move_on(spark, monkeypatch):
     assert len(found) == 20 == len({r["surrogate"] for r in found}) and not {"s0", "s1", "s2"} & {r["surrogate"] for r in found}
 
 
+def test_surrogates_where_a_format_runs_out(spark):
+    az = "abcdefghijklmnopqrstuvwxyz"
+    short = [("email", f"{a}@{b}.{t}", "") for a in az for b in az for t in ("com", "org", "net", "de")]
+    full = [("phone", f"1{k:04}", "") for k in range(10_000)]
+    entities = [*short, *full, ("secret", "--------", ""), ("ip", "8.8.8.8", ""), ("name", "lee", "f")]
+    found = surrogates.surrogates(spark.createDataFrame(entities, "kind string, canon string, gender string"), "k").collect()
+    assert sorted((r["kind"], r["canon"], r["gender"]) for r in found) == sorted(entities)
+    new = {(r["kind"], r["surrogate"]) for r in found}
+    assert len(new) == len(entities) and not new & {e[:2] for e in entities}
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.example\.(com|net|org)", s) for k, s in new if k == "email")
+    assert all(re.fullmatch(r"1\d{5,}", s) for k, s in new if k == "phone")
+    late = spark.createDataFrame([(k, c, g, n) for k, c, g in [("ip", "8.8.8.8", ""), ("name", "ann lee", "f"), ("card", "4337166598464399", "")] for n in (7, 8, 63)], "kind string, canon string, gender string, attempt int")
+    out = {(r["kind"], r["attempt"]): r["s"] for r in late.withColumn("s", surrogates._surrogate("k")).collect()}
+    assert out["ip", 7].startswith("10.") and re.fullmatch(r"fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", out["ip", 8])
+    assert [len(out["name", n].split()[0]) - len(out["name", 7].split()[0]) for n in (8, 63)] == [2, 48]
+    assert [len(out["card", n]) for n in (7, 8, 63)] == [16, 17, 40]
+    written = surrogates._written(F.lit("+1 23 45"), F.lit("phone"), F.lit("+1 23 45"), F.lit("1678901"))
+    assert spark.range(1).select(written.alias("w")).first()["w"] == "+1 67 8901"
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     found = registry.op3_toxicity(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
