@@ -250,19 +250,19 @@ def map_upsert(spark, sf):
     return join.upsert(base, changes, "k", "v", "s")
 
 
-@query("""SELECT e.event_id, (SELECT max(f.event_id) FROM events f WHERE f.user_id = e.user_id AND f.event_id % 10 = 0 AND f.event_id <= e.event_id) AS v_as_of
- FROM events e WHERE e.event_id % 10 = 5""")
+@query("""SELECT e.event_id, (SELECT max(f.event_id) FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'purchase' AND f.event_id <= e.event_id) AS v_as_of
+ FROM events e WHERE e.event_type IS DISTINCT FROM 'purchase'""")
 def join_as_of(spark, sf):
-    rows = _table(spark, sf, "events").select("event_id", "user_id")
-    right = rows.where("event_id % 10 = 0").select("user_id", F.col("event_id").alias("at"), F.col("event_id").alias("v"))
-    left = rows.where("event_id % 10 = 5").select("event_id", "user_id", F.col("event_id").alias("at"))
+    rows = _table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    right = rows.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("at"), F.col("event_id").alias("v"))
+    left = rows.where("event_type IS DISTINCT FROM 'purchase'").select("event_id", "user_id", F.col("event_id").alias("at"))
     return join.as_of(left, right, "user_id", "at", "v").select("event_id", "v_as_of")
 
 
-@query("SELECT e.event_id, s.event_id AS span FROM events e JOIN (SELECT event_id, event_id AS a, event_id + event_id % 40 AS b FROM events WHERE event_id % 25 = 0) s ON e.event_id >= s.a AND e.event_id < s.b")
+@query("SELECT e.event_id, s.event_id AS span FROM events e JOIN (SELECT event_id, event_id AS a, event_id + event_id % 40 AS b FROM events) s ON e.event_id >= s.a AND e.event_id < s.b")
 def join_interval(spark, sf):
     rows = _table(spark, sf, "events").select("event_id")
-    spans = rows.where("event_id % 25 = 0").select(F.col("event_id").alias("span"), F.col("event_id").alias("a"), (F.col("event_id") + F.col("event_id") % 40).alias("b"))
+    spans = rows.select(F.col("event_id").alias("span"), F.col("event_id").alias("a"), (F.col("event_id") + F.col("event_id") % 40).alias("b"))
     return join.interval_join(rows, spans, "event_id", "a", "b", 64).select("event_id", "span")
 
 
@@ -568,11 +568,11 @@ def topk_block_pruned(spark, sf):
 
 
 def _cells(spark, sf, modulo: int) -> DataFrame:
-    rows = _table(spark, sf, "lineitem").where("l_orderkey < 400")
+    rows = _table(spark, sf, "lineitem")
     return rows.groupBy(F.lit(0).alias("b"), (F.col("l_orderkey") % modulo).alias("i"), (F.col("l_suppkey") % modulo).alias("j")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("v"))
 
 
-CELLS = "(SELECT 0 AS b, l_orderkey % 12 AS i, l_suppkey % 12 AS j, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem WHERE l_orderkey < 400 GROUP BY ALL)"
+CELLS = "(SELECT 0 AS b, l_orderkey % 12 AS i, l_suppkey % 12 AS j, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem GROUP BY ALL)"
 
 
 @query(f"SELECT x.b, x.i, y.j, sum(x.v * y.v)::BIGINT AS v FROM {CELLS} x JOIN {CELLS} y ON x.b = y.b AND x.j = y.i GROUP BY ALL")

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from basaltine import queries as q
+from basaltine.operators import matrix
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,6 +45,34 @@ def test_searches_in_whole_texts(spark, duck, rows):
     assert rows(q.QUERIES["text_non_ascii"](spark, SF)) == sorted((d, next((i for i, c in enumerate(t) if ord(c) > 127), -1)) for d, t in docs)
 
 
+def test_whole_tables_in_matrices_and_joins(spark, duck, rows):
+    cells = {(i, j): v for _, i, j, v in rows(q._cells(spark, SF, 12))}
+    want = {}
+    for i, j, v in duck.execute("SELECT l_orderkey % 12, l_suppkey % 12, l_quantity::BIGINT FROM lineitem").fetchall():
+        want[i, j] = want.get((i, j), 0) + v
+    assert cells == want
+    product = {}
+    for i, k in want:
+        for j in range(12):
+            if (k, j) in want:
+                product[i, j] = product.get((i, j), 0) + want[i, k] * want[k, j]
+    assert rows(q.QUERIES["matrix_multiply"](spark, SF)) == sorted((0, i, j, v) for (i, j), v in product.items())
+    # without the clamp of the registered query
+    a = q._cells(spark, SF, 12)
+    assert {(i, j): v for _, i, j, v in rows(matrix.gemm(a, a, alpha=0.5))} == {k: v * 0.5 for k, v in product.items()}
+
+    events = duck.execute("SELECT event_id, user_id, event_type FROM events ORDER BY event_id").fetchall()
+    last, as_of = {}, []
+    for event, user, kind in events:
+        if kind == "purchase":
+            last[user] = event
+        else:
+            as_of.append((event, last.get(user)))
+    assert rows(q.QUERIES["join_as_of"](spark, SF)) == as_of
+    ids = [e for e, _, _ in events]
+    assert rows(q.QUERIES["join_interval"](spark, SF)) == sorted((e, s) for s in ids for e in range(s, s + s % 40) if e <= ids[-1])
+
+
 def test_plans(spark):
     plan = lambda name: q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan("topk_l2") and "TakeOrderedAndProject" in plan("order_top_k")
