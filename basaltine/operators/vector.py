@@ -62,15 +62,36 @@ def nearest(df: DataFrame, vector: str, row_id: str, query: Sequence[float], k:
     return scores(df.select(row_id, vector), vector, query, kind).select(row_id, "score").orderBy(best, row_id).limit(k)
 
 
-def nearest_many(df: DataFrame, vector: str, row_id: str, queries: dict[int, Sequence[float]], k: int, kind: str = "l2") -> DataFrame:
-    """query, row_id, score, rank for a stated set of queries.
+#: Queries in a block and rows in a chunk: what is scored at once.
+BLOCK, CHUNK = 64, 512
 
-    The queries go with the scan, a block of scores a row; every task keeps k rows a query before the exchange.
+
+def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows in arrays of at most ``size``, by their places in their partitions."""
+    place = F.struct(F.spark_partition_id(), F.floor(F.monotonically_increasing_id() / size))
+    return rows.select(F.struct("*").alias(name), place.alias("place")).groupBy("place").agg(F.collect_list(name).alias(name)).select(name)
+
+
+def nearest_many(df: DataFrame, vector: str, row_id: str, queries: DataFrame, k: int, kind: str = "l2") -> DataFrame:
+    """query, row_id, score, rank for each of many queries (query, wanted): their k best rows, ties by row id.
+
+    Blocks of queries meet chunks of rows; each meeting returns k rows a query, and only these are ranked. Vectors of
+    another length than their query's are an error; there may be any number of queries.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(q).cast("bigint").alias("query"), SCORES[kind](F.col(vector), _constant(v)).alias("score")) for q, v in queries.items()]))
-    best = F.desc("score") if kind == "ip" else F.asc("score")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(best, row_id)).cast("bigint")
-    return df.select(row_id, each.alias("s")).select("s.query", row_id, "s.score").withColumn("rank", rank).where(F.col("rank") <= k)
+    blocks = _packed(queries.select(F.col("query").cast("bigint").alias("query"), "wanted"), BLOCK, "block")
+    chunks = _packed(df.select(F.col(row_id).alias("row"), F.col(vector).alias("vector")), CHUNK, "chunk")
+
+    def scored(q: Column, r: Column) -> Column:
+        checked = F.when(F.size(r["vector"]) == F.size(q["wanted"]), r["vector"]).otherwise(F.raise_error(F.lit("a vector has another length than the query")))
+        score = SCORES[kind](checked, q["wanted"])
+        return F.struct((-score if kind == "ip" else score).alias("key"), r["row"].alias("row"), score.alias("score"))
+
+    def best(q: Column) -> Column:
+        return F.struct(q["query"].alias("query"), F.slice(F.sort_array(F.transform("chunk", lambda r: scored(q, r))), 1, k).alias("best"))
+
+    met = chunks.crossJoin(blocks).select(F.explode(F.transform("block", best)).alias("x")).select("x.query", F.explode("x.best").alias("s"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("s.key", "s.row")).cast("bigint")
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query", F.col("s.row").alias(row_id), "s.score", "rank")
 
 
 def signature(vector: Column, threshold: float = 0.0) -> Column:

@@ -540,10 +540,10 @@ def vector_scores(spark, sf):
 
 
 @query(f"""SELECT query, vec_id, rank FROM (SELECT q.vec_id AS query, d.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(d.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), d.vec_id) AS rank
- FROM {VECTORS} d, {VECTORS} q WHERE q.vec_id IN (0, 1, 2)) WHERE rank <= 5""")
+ FROM {VECTORS} d, {VECTORS} q WHERE q.vec_id % 100 = 0) WHERE rank <= 5""")
 def topk_batch(spark, sf):
     rows = _embeddings(spark, sf)
-    asked = {r["vec_id"]: r["embedding"] for r in rows.where("vec_id in (0, 1, 2)").select("vec_id", "embedding").collect()}
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("wanted"))
     return vector.nearest_many(rows, "embedding", "vec_id", asked, 5).select("query", "vec_id", "rank")
 
 

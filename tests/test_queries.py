@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from basaltine import queries as q
-from basaltine.operators import matrix
+from basaltine.operators import matrix, vector
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,6 +73,19 @@ def test_whole_tables_in_matrices_and_joins(spark, duck, rows):
     assert rows(q.QUERIES["join_interval"](spark, SF)) == sorted((e, s) for s in ids for e in range(s, s + s % 40) if e <= ids[-1])
 
 
+def test_every_hundredth_vector_is_searched_for(spark, duck, rows, monkeypatch):
+    vectors = dict(duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall())
+
+    def nearest(query):
+        return sorted((sum((x - y) * (x - y) for x, y in zip(v, vectors[query], strict=True)), i) for i, v in vectors.items())[:5]
+
+    want = sorted((query, i, n + 1) for query in vectors if query % 100 == 0 for n, (_, i) in enumerate(nearest(query)))
+    assert len(want) > 15 and rows(q.QUERIES["topk_batch"](spark, SF)) == want
+    monkeypatch.setattr(vector, "BLOCK", 2)
+    monkeypatch.setattr(vector, "CHUNK", 7)
+    assert rows(q.QUERIES["topk_batch"](spark, SF)) == want
+
+
 def test_plans(spark):
     plan = lambda name: q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan("topk_l2") and "TakeOrderedAndProject" in plan("order_top_k")
