@@ -15,14 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basaltine.llm.scratch import saved
 from basaltine.llm.ship import ship
 from basaltine.llm.words import whole
 
-#: Bounds of the sample that the model is fitted on: toxic and clean documents.
-TOXIC, CLEAN = 1500, 3000
+#: Bounds of the sample that the model is fitted on: toxic and clean documents, and bytes of their texts in all.
+TOXIC, CLEAN, SAMPLE_BYTES = 1500, 3000, 64 << 20
 #: Hashed features, lengths of word beginnings, tokens in a training chain, training rounds.
 FEATURES, BEGINNINGS, CHAIN, ROUNDS = 1 << 18, (3, 4, 5, 6), 64, 80
 #: A word or beginning labels tokens where its likelihood ratio is at least this, and it is this much likelier in toxic documents.
@@ -30,7 +31,7 @@ LIKELIHOOD, LIFT = 14.0, 8.0
 #: Words that a worker remembers, tokens that are scored together, texts that leave a task together.
 REMEMBERED, TOGETHER, ROWS = 300_000, 1 << 20, 512
 TOKEN = re.compile(r"\w+")
-_known: dict[int, dict[str, float]] = {}
+_known: dict[str, dict[str, float]] = {}
 
 
 def _marks(word: str) -> list[str]:
@@ -77,10 +78,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class ToxicModel:
     """The fitted chain and document function; its arrays have a fixed size and travel with a task."""
 
-    def __init__(self, weights: np.ndarray, start: float, trans: np.ndarray, document: np.ndarray, name: int):
-        self.weights, self.start, self.trans, self.document, self.name = weights, start, trans, document, name
+    def __init__(self, weights: np.ndarray, start: float, trans: np.ndarray, document: np.ndarray):
+        self.weights, self.start, self.trans, self.document = weights, start, trans, document
+        #: What a worker remembers of words follows from the weights, so their digest names it.
+        self.name = xxhash.xxh3_128_hexdigest(weights.tobytes())
 
     def emission(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        if self.name not in _known:
+            _known.clear()  # of an earlier model
         known = _known.setdefault(self.name, {})
         every = set().union(*words) if words else set()
         new = every.difference(known)
@@ -192,22 +197,22 @@ def fit(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.0,
     toxic = np.array(labels, bool)
     trans0, start0 = np.array([[0.0, -3.0], [-0.5, -1.0]]), -3.0
     weights = np.zeros(FEATURES)
-    name = xxhash.xxh32_intdigest(repr((len(texts), labels[:100], [t[:20] for t in texts[:100]])).encode())
     document = np.array([-3.0, 0, 0, 0])
     if toxic.all() or not toxic.any():
-        return ToxicModel(weights, start0, trans0, np.array([4.0 if len(labels) and toxic.all() else -4.0, 0, 0, 0]), name)
+        return ToxicModel(weights, start0, trans0, np.array([4.0 if len(labels) and toxic.all() else -4.0, 0, 0, 0]))
     marks = _toxic_marks(texts, toxic)
     ids: dict[str, int] = {}
     flat = [np.array([ids.setdefault(w, len(ids)) for w in TOKEN.findall(t)], np.int32) for t in texts]
     feats = np.array([_features(w) for w in ids], np.int32).reshape(len(ids), len(BEGINNINGS) + 2)
     is_toxic = np.array([not marks.isdisjoint(_marks(w)) for w in ids], bool)
     tokens, tags, lengths = [], [], []
-    for x, t in zip(flat, toxic, strict=True):
+    for x, t, text in zip(flat, toxic, texts, strict=True):
+        # every chain with a toxic token, and one of each text by a hash of the whole text
+        drawn = xxhash.xxh32_intdigest(text) % max(1, -(-len(x) // CHAIN)) * CHAIN
         for at in range(0, len(x), CHAIN):
             part = x[at : at + CHAIN]
             tag = is_toxic[part] & t
-            # every chain with a toxic token, and the first chain of each text
-            if tag.any() or at == 0:
+            if tag.any() or at == drawn:
                 tokens.append(part)
                 tags.append(tag)
                 lengths.append(len(part))
@@ -239,7 +244,7 @@ def fit(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.0,
         weights += step[:FEATURES]
         trans += step[FEATURES : FEATURES + 4].reshape(2, 2)
         start += step[-1]
-    model = ToxicModel(weights.astype(np.float32), float(start), trans, document, name)
+    model = ToxicModel(weights.astype(np.float32), float(start), trans, document)
     per_word, seen = model.weights[feats].sum(axis=1, dtype=np.float64), []
     for at in range(0, len(flat), 500):
         part = flat[at : at + 500]
@@ -250,18 +255,26 @@ def fit(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.0,
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[int], tuple[float, float]]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, most_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text"
+) -> tuple[list[str], list[int], tuple[float, float]]:
     """Texts, labels and the weights of the classes: at most ``toxic`` and ``clean`` documents, by a hash of the id.
 
+    Of these, in the order of the hash, as many whole texts as ``most_bytes`` hold go to the driver (always the first).
     Null labels are left out; of several labels of a document the largest counts.
     """
-    marked = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("__id")).agg((F.max("toxic") > 0).alias("t")).withColumn("h", F.xxhash64("__id"))
+    marked = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("i")).agg((F.max("toxic") > 0).alias("t")).withColumn("h", F.xxhash64("i"))
     count = {r["t"]: r["count"] for r in marked.groupBy("t").count().collect()}
-    parts = [marked.where(F.col("t") if t else ~F.col("t")).orderBy("h", "__id").limit(n) for t, n in ((True, toxic), (False, clean))]
-    chosen = parts[0].unionAll(parts[1]).select("__id", "t")
+    parts = [marked.where(F.col("t") if t else ~F.col("t")).orderBy("h", "i").limit(n) for t, n in ((True, toxic), (False, clean))]
+    chosen = parts[0].unionAll(parts[1]).select("i", "t", "h")
     # at most toxic + clean ids
-    found = docs.select(F.col(doc_id).alias("__doc"), whole(text).alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__id", "text", "t")
-    rows = found.toPandas().sort_values(["__id", "text"])
+    found = docs.select(F.col(doc_id).alias("doc"), whole(text).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("i"))
+    # of rows that share an id, the least text
+    found = saved(found.groupBy("i", "t", "h").agg(F.min("text").alias("text")).select("*", F.octet_length("text").cast("long").alias("bytes")))
+    order = Window.orderBy("h", "i").rowsBetween(Window.unboundedPreceding, -1)
+    upto = found.select("i", "bytes", F.coalesce(F.sum("bytes").over(order), F.lit(0)).alias("before"))
+    fit_in = upto.where((F.col("before") == 0) | (F.col("before") + F.col("bytes") <= most_bytes)).select("i")
+    rows = found.join(F.broadcast(fit_in), "i").select("i", "t", "text").toPandas().sort_values("i")
     y = rows["t"].astype(int).tolist()
     weight = tuple(count.get(bool(t), 0) / max(1, y.count(t)) for t in (0, 1))
     return rows["text"].tolist(), y, weight
@@ -286,5 +299,5 @@ def toxicity(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFram
     Empty texts and texts without words get the score of no evidence. An empty table stays empty.
     """
     ship(docs.sparkSession)
-    own = [c for c in docs.columns if c not in ("score", "spans")]
-    return docs.select(*own, scored(model, docs[text]).alias("__s")).select(*own, "__s.score", "__s.spans")
+    own = [F.col("d").getField(c).alias(c) for c in docs.columns if c not in ("score", "spans")]
+    return docs.select(F.struct("*").alias("d"), scored(model, docs[text]).alias("s")).select(*own, "s.score", "s.spans")
