@@ -1,20 +1,23 @@
-"""License scans by MinHash bands over overlapping windows (native).
-
-Texts and templates are shingled into five words. Windows of ``WINDOW`` shingles overlap by half. A window's signature
-has ``BANDS`` bands of one row: a shingle's hash names its band, and the band's value is the smallest hash in it. A
-template's shingle that lies in a window fails to be its band's value only if one of the at most WINDOW - 1 others
-fell into the same band with a smaller hash: 63 / (2 * 65536), one in two thousand, and a template is missed only if
-that happens to all its shingles that are there.
-
-Bands that agree name a template and where in the text it would begin; the shingles of that place, as words and not as
-hashes, are then compared with the template's: it is found where at least ``CONTAINED`` of them are there.
-
-The templates are a fixed table: their bands are a set of literals, and the join with them broadcasts a few rows. Only
-texts in which a template's band value occurs at all go beyond the hashes of their shingles, within a row; the only
-shuffle is of the places found.
-
-A template of fewer than five words is one shingle of all its words: it is found wherever a text has just these words,
-which are compared as words from the start.
+"""License scans by MinHash bands over overlapping text windows (native).
+
+Texts and templates are shingled into five words. A template is cut into chunks of 2 to the power s shingles, the
+largest power that it holds and at most ``CHUNK``, the last one ending where the template ends. On each scale s the
+windows of a text are twice as long as the chunks and overlap by half, so that a chunk lies whole in one of them. The
+signature of a window or chunk is, for each of ``BANDS`` hash functions, the least hash of its shingles; a band is
+``ROWS`` of them. With ROWS = 1 a chunk and a window of Jaccard similarity j share a band with probability
+1 - (1 - j)^BANDS: more than 0.9999 for a chunk that is there whole (j = 1/2), and 0.999 for one that has lost a third
+of its shingles (j = 1/4), where a notice as a whole, with CONTAINED = 0.8, loses a fifth.
+
+Signatures are built by doubling: the least hashes of a block of 2^(s + 1) shingles are those of its two halves. Long
+texts are taken in overlapping segments, so that no array grows with a text. Bands that agree name a template and a
+window; near it the shingles, as words and not as hashes, are compared with the template's: the template is found
+where at least ``CONTAINED`` of them are there.
+
+Only texts with an anchor word go so far: a template's anchors are in so many of its shingles that a text without them
+has too few of the template's shingles. The bands of the templates are joined to those of the texts; they
+are broadcast by Spark where they are few, as those of the table here are. The only shuffle is of the windows found.
+
+A template of fewer than five words has no shingle: it is found wherever a text has just these words in a row.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basaltine.llm.scratch import saved
 from basaltine.llm.words import where_computed, whole
 
-SHINGLE, WINDOW, BANDS, CONTAINED = 5, 64, 65536, 0.8
+SHINGLE, CHUNK, ROWS, BANDS, CONTAINED = 5, 32, 1, 24, 0.8
+#: Words of a text that are searched together, beside what they overlap by.
+SEGMENT = 2048
 #: Words for this scan: letters and digits, with inner dots, hyphens and apostrophes.
 TOKEN = r"[\p{L}\p{N}]+(?:[.'-][\p{L}\p{N}]+)*"
-#: The notices that public licenses ask for, and the bare line of works under none.
+#: The notices that public licenses ask for, whole short licenses, and the bare line of works under none.
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -46,6 +52,16 @@ TEMPLATES = {
     "unlicense-notice": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
     "all-rights-reserved-line": "All rights reserved.",
+    "mit-license": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc-license": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
 
@@ -60,24 +76,84 @@ def shingles(words: Column, as_hash: bool = True) -> Column:
     return F.when(F.size(words) >= SHINGLE, each).otherwise(F.array().cast("array<bigint>" if as_hash else "array<string>"))
 
 
-def _leads(hashes: Column, at: Column) -> Column:
-    """Whether the hash at a place is its band's value in one of the two windows that it lies in."""
-    mine, half = F.get(hashes, at), WINDOW // 2
+def collision(similarity: float, rows: int = ROWS, bands: int = BANDS) -> float:
+    """The probability that two sets of a Jaccard similarity share a band."""
+    return 1 - (1 - similarity**rows) ** bands
+
+
+def _hashed(hashes: Column) -> Column:
+    """Of each shingle, its value under every hash function."""
+    return F.transform(hashes, lambda h: F.array(*[F.xxhash64(h, F.lit(j)) for j in range(ROWS * BANDS)]))
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.zip_with(a, F.coalesce(b, a), lambda x, y: F.least(x, y))
+
+
+def _doubled(blocks: Column):
+    return lambda i: _least(F.get(blocks, 2 * i), F.get(blocks, 2 * i + 1))
+
+
+def _bands(signature: Column, scale: int) -> Column:
+    """The keys of a signature's bands on a scale."""
+    return F.array(*[F.xxhash64(F.lit(scale), F.lit(k), *[F.get(signature, k * ROWS + r) for r in range(ROWS)]) for k in range(BANDS)])
+
+
+def template_chunks(words: list[str]) -> list[tuple[int, int]]:
+    """(scale, first shingle) of a template's chunks."""
+    m = len(words) - SHINGLE + 1
+    scale = min(m, CHUNK).bit_length() - 1
+    size = 1 << scale
+    return [(scale, at) for at in sorted({*range(0, m - size + 1, size), m - size})]
+
 
-    def leads(start: Column) -> Column:
-        window = F.slice(hashes, F.greatest(start, F.lit(0)) + 1, F.lit(WINDOW))
-        return ~F.exists(window, lambda y: (F.pmod(y, F.lit(BANDS)) == F.pmod(mine, F.lit(BANDS))) & (y < mine))
+def template_bands(spark: SparkSession, words: dict[str, list[str]]) -> DataFrame:
+    """key, license: the bands of the templates' chunks, each once."""
+    rows = [(name, scale, w[at : at + (1 << scale) + SHINGLE - 1]) for name, w in words.items() for scale, at in template_chunks(w)]
+    chunks = spark.createDataFrame(rows, "license string, scale int, w array<string>")
+    least = F.aggregate(_hashed(shingles(F.col("w"))), F.lit(None).cast("array<bigint>"), lambda a, x: _least(x, a))
+    signed = chunks.select("license", "scale", least.alias("s"))
+    keys = F.coalesce(*[F.when(F.col("scale") == k, _bands(F.col("s"), k)) for k in range(CHUNK.bit_length())])
+    return signed.select(F.explode(keys).alias("key"), "license").distinct()
 
-    start = F.floor(at / half).cast("int") * half
-    return leads(start) | leads(start - half)
 
+def window_bands(segments: DataFrame, scales: list[int]) -> DataFrame:
+    """segments (row, start, w) to row, start, first, size, key: the bands of every window, by its first shingle.
+
+    The windows of a scale are pairs of neighbouring blocks; blocks of the next scale are pairs of them, too.
+    """
+    levels = segments.select("row", "start", _hashed(shingles(F.col("w"))).alias("b0"))
+    for k in range(max(scales)):
+        b = F.col(f"b{k}")
+        halves = F.sequence(F.lit(0), F.floor((F.size(b) - 1) / 2).cast("int"))
+        doubled = F.when(F.size(b) > 0, F.transform(halves, _doubled(b))).otherwise(F.array().cast("array<array<bigint>>"))
+        levels = levels.select("*", doubled.alias(f"b{k + 1}"))
+
+    def windows(k: int) -> Column:
+        b = F.col(f"b{k}")
+        return F.transform(b, lambda x, i: F.struct((i * (1 << k)).alias("first"), F.lit(2 << k).alias("size"), _bands(_least(x, F.get(b, i + 1)), k).alias("keys")))
+
+    every = levels.select("row", "start", F.explode(F.concat(*[windows(k) for k in scales])).alias("x")).select("row", "start", "x.*")
+    return every.select("row", "start", "first", "size", F.explode("keys").alias("key"))
 
-def template_bands(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """license, value, offset, shingles: the band values of each template, and where in it they are."""
-    base = spark.createDataFrame(list(templates.items()), "license string, notice string").select("license", tokens(F.col("notice")).alias("w"))
-    base = base.select("license", shingles(F.col("w")).alias("h"), shingles(F.col("w"), False).alias("shingles"))
-    at = base.select("license", "h", "shingles", F.posexplode("h").alias("offset", "value"))
-    return at.where(_leads(F.col("h"), F.col("offset"))).select("license", "value", "offset", "shingles")
+
+def anchors(words: dict[str, list[str]], contained: float = CONTAINED) -> list[str]:
+    """Words of which a text has one if it has ``contained`` of some template's shingles (or a shorter template).
+
+    Such a text lacks at most 1 - contained of the shingles, so it has one of any set of more. The template's words are
+    taken by length, as longer words are rarer, until they are in more shingles than a text may lack.
+    """
+    chosen: set[str] = set()
+    for w in words.values():
+        left = {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
+        lacks = len(left) * (1 - contained) + 1e-9
+        total = len(left)
+        for word in sorted(set(w), key=lambda x: (-len(x), x)):
+            if total - len(left) > lacks or not left:
+                break
+            chosen.add(word)
+            left = {s for s in left if word not in s}
+    return sorted(chosen)
 
 
 def short_places(words: Column, notice: list[str]) -> Column:
@@ -100,52 +176,67 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id:
     """
     spark = docs.sparkSession
     named = spark.createDataFrame(list(templates.items()), "license string, notice string")
-    words = {r["license"]: r["w"] for r in named.select("license", tokens(F.col("notice")).alias("w")).collect()}
+    words = {r["license"]: r["w"] for r in named.select("license", tokens(F.col("notice")).alias("w")).collect()}  # the table of templates
     if not all(words.values()):
         raise ValueError("a template has no words")
+    segments = saved(text_segments(docs, words, contained, doc_id, text))
     short = {k: w for k, w in words.items() if len(w) < SHINGLE}
-    long = {k: t for k, t in templates.items() if k not in short}
+    long = {k: w for k, w in words.items() if len(w) >= SHINGLE}
+    found = ([long_places(segments, long, contained)] if long else []) + ([short_found(segments, short)] if short else [])
+    places = reduce(DataFrame.unionByName, found)
+    # a place in the overlap of two segments is found twice
+    return places.groupBy("row", "doc_id", "license").agg(
+        F.max("share").alias("containment"), F.min("first").alias("first_word"), F.countDistinct("first").alias("places")
+    ).drop("row")
+
+
+def _slack(shingles_: int) -> int:
+    return max(2, shingles_ // 4)
+
+
+def text_segments(docs: DataFrame, words: dict[str, list[str]], contained: float = CONTAINED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """row, doc_id, start, w: the words of the texts that have an anchor, in segments that overlap.
+
+    Wherever a template may be found, that place and the slack around it lie in one segment.
+    """
+    longest = max(map(len, words.values()))
+    overlap = longest + 2 * _slack(longest) + SHINGLE
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), tokens(whole(text)).alias("w"))
-    found = ([_long_found(base, long, contained)] if long else []) + ([_short_found(base, short)] if short else [])
-    return reduce(DataFrame.unionByName, found)
+    some = where_computed(base, F.arrays_overlap("w", F.array(*map(F.lit, anchors(words, contained)))))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - overlap - 1), F.lit(SEGMENT))
+    parts = F.transform(starts, lambda at: F.struct(at.cast("long").alias("start"), F.slice("w", at + 1, F.lit(SEGMENT + overlap)).alias("w")))
+    return some.select("row", "doc_id", F.explode(parts).alias("x")).select("row", "doc_id", "x.*")
 
 
-def _short_found(base: DataFrame, short: dict[str, list[str]]) -> DataFrame:
+def short_found(segments: DataFrame, short: dict[str, list[str]]) -> DataFrame:
+    """row, doc_id, license, share, first: where the segments have the words of short templates."""
     each = F.array(*[F.struct(F.lit(k).alias("license"), short_places(F.col("w"), w).alias("at")) for k, w in short.items()])
-    spots = base.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.license", "x.at")
-    some = where_computed(spots, F.size("at") > 0)
-    return some.select("doc_id", "license", F.lit(1.0).alias("containment"), F.get("at", F.lit(0)).cast("long").alias("first_word"), F.size("at").cast("long").alias("places"))
-
-
-def _long_found(base: DataFrame, templates: dict[str, str], contained: float) -> DataFrame:
-    spark = base.sparkSession
-    bands = template_bands(spark, templates)
-    rows = bands.collect()  # as many as the templates have shingles
-    values = sorted({r["value"] for r in rows})
-    longest = max(len(r["shingles"]) for r in rows)
-    hashed = base.select("row", "doc_id", "w", shingles(F.col("w")).alias("h"))
-    some = where_computed(hashed, F.exists("h", lambda x: x.isin(values)))
-    places = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get(F.col("h"), i).isin(values))
-    some = some.select("row", "doc_id", "w", "h", places.alias("at"))
-    some = some.select("row", "doc_id", "w", "h", F.filter("at", lambda i: _leads(F.col("h"), i)).alias("at"))
-    # the words that a template around this shingle can reach
-    reach = longest + longest // 4 + 2
-
-    def around(i: Column) -> Column:
-        start = F.greatest(i - reach, F.lit(0))
-        return F.struct(i.alias("at"), F.get(F.col("h"), i).alias("value"), start.alias("start"), F.slice(F.col("w"), start + 1, i - start + reach + SHINGLE).alias("near"))
-
-    hits = some.select("row", "doc_id", F.explode(F.transform("at", around)).alias("x")).select("row", "doc_id", "x.*")
-    found = hits.join(F.broadcast(spark.createDataFrame(rows, bands.schema)), "value")
-    size = F.size("shingles")
-    slack = F.greatest(F.lit(2), F.floor(size / 4).cast("int"))
-    first = F.col("at") - F.col("offset")
-    begin = F.greatest(first - slack, F.lit(0))
-    here = F.slice("near", begin - F.col("start") + 1, first + size + SHINGLE - 1 + slack - begin)
-    checked = found.select("row", "doc_id", "license", F.greatest(first, F.lit(0)).alias("first"), "shingles", here.alias("here"))
+    spots = segments.select("row", "doc_id", "start", F.explode(each).alias("x")).select("row", "doc_id", "start", "x.license", F.explode("x.at").alias("at"))
+    return spots.select("row", "doc_id", "license", F.lit(1.0).alias("share"), (F.col("start") + F.col("at")).alias("first"))
+
+
+def long_places(segments: DataFrame, words: dict[str, list[str]], contained: float) -> DataFrame:
+    """row, doc_id, license, share, first: where windows retrieve a template, and how much of it is there."""
+    spark = segments.sparkSession
+    scales = sorted({scale for w in words.values() for scale, _ in template_chunks(w)})
+    met = window_bands(segments, scales).join(template_bands(spark, words), "key").select("row", "start", "license", "first", "size").distinct()
+    shapes = spark.createDataFrame([(k, [" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)], _slack(len(w) - SHINGLE + 1)) for k, w in words.items()], "license string, shingles array<string>, slack int")
+    # the windows of a segment that retrieve a template: as many as the segment has at most
+    asked = met.groupBy("row", "start", "license").agg(F.collect_list(F.struct("first", "size")).alias("windows"))
+    near = segments.join(asked, ["row", "start"]).join(shapes, "license")
+    near = near.select("row", "doc_id", "start", "license", "shingles", "slack", "windows", shingles(F.col("w"), False).alias("here"))
+    m, slack = F.size("shingles"), F.col("slack")
+    # every shingle of the template that a window's surroundings have tells where the template would begin
+    close = F.filter(
+        F.sequence(F.lit(0), F.size("here") - 1),
+        lambda i: F.exists("windows", lambda w: (i >= w["first"] - m - slack) & (i < w["first"] + w["size"] + m + slack)) & F.array_contains("shingles", F.get(F.col("here"), i)),
+    )
+    offsets = lambda i: F.filter(F.sequence(F.lit(0), m - 1), lambda o: F.get(F.col("shingles"), o) == F.get(F.col("here"), i))
+    begins = F.array_distinct(F.flatten(F.transform(close, lambda i: F.transform(offsets(i), lambda o: i - o))))
+    at = near.select("row", "doc_id", "start", "license", "shingles", "slack", "here", F.explode(begins).alias("at"))
+    begin = F.greatest(F.col("at") - slack, F.lit(0))
+    place = F.slice("here", begin + 1, F.col("at") + m + slack - begin)
     wanted = F.array_distinct("shingles")
-    share = F.size(F.array_intersect(wanted, shingles(F.col("here"), False))) / F.size(wanted)
-    scored = where_computed(checked.select("row", "doc_id", "license", "first", share.alias("share")), F.col("share") >= contained)
-    return scored.groupBy("row", "doc_id", "license").agg(
-        F.max("share").alias("containment"), F.min("first").cast("long").alias("first_word"), F.countDistinct("first").alias("places")
-    ).drop("row")
+    share = F.size(F.array_intersect(wanted, place)) / F.size(wanted)
+    scored = where_computed(at.select("row", "doc_id", "license", F.greatest(F.col("start") + F.col("at"), F.lit(0)).alias("first"), share.alias("share")), F.col("share") >= contained)
+    return scored.select("row", "doc_id", "license", "share", "first")
