@@ -1,9 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target number of words. A source whose target is r times its size takes floor(r) certain whole
-copies of every document, and for the rest a Pareto order sample: the documents are ranked by the odds of a uniform
-number over the odds of their inclusion, and the lowest ranks are taken until the words reach what is left of the
-target. The uniform number comes from a keyed digest of the id, so that reruns agree.
+copies of every document, and for the rest a Pareto order sample of unequal probabilities: a document's inclusion
+probability is min(1, c x), where x, its measure, is the bit length of its size, so that long documents are likelier
+than short ones, and c is the source's, such that the words expected are those that are left of the target. The
+documents are ranked by the odds of a uniform number over the odds of their inclusion (certain ones first), and the
+lowest ranks are taken until the words reach what is left. The uniform number comes from a keyed digest of the id, so
+that reruns agree.
 
 No source is ever sorted in one task: the rank is a 60-bit integer, the words are summed by its leading digits with a
 map-side combine, and only the digit in which a source's sum crosses its target is looked at more closely.
@@ -62,41 +65,68 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     return ranked.select("source", "source_size", F.when((share > bound) | (F.col("weight") == 0), bound).otherwise(share).alias("target"))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number above 0 and below 1 that follows from the id and the seed (52 bits of an MD5 digest)."""
-    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def uniform(doc_id: Column, seed: str, other: Column) -> Column:
+    """A number above 0 and below 1 that follows from the seed and the id, or of a null id ``other`` (52 bits of an MD5 digest)."""
+    digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(doc_id.cast("string"), F.concat(F.lit(":"), other))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def pareto_rank(u: Column, p: Column) -> Column:
-    """The place of the Pareto key q = odds(u) / odds(p), from 0 to 1: q / (1 + q) rises with q."""
-    q = (u / (1 - u)) / (p / (1 - p))
-    return q / (1 + q)
+    """The place of the Pareto key q = odds(u) / odds(p), from 0 to 1: q / (1 + q) rises with q; 0 where p is 1."""
+    q = (u / (1 - u)) * (F.lit(1.0) - p) / p
+    return F.when(p >= 1, F.lit(0.0)).otherwise(q / (1 + q))
+
+
+def measure(size: Column) -> Column:
+    """What inclusion is proportional to: the bit length of the size."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def inclusion(classes: DataFrame) -> DataFrame:
+    """classes (source, x, words, need) with ``p``, the inclusion probability of documents of measure x.
+
+    The c of a source is the first (classes in falling order of x) for which no further class would be over 1: those
+    before it are certain. A source has as many classes as its sizes have bit lengths.
+    """
+    falling = Window.partitionBy("source").orderBy(F.desc("x"))
+    before = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("x") * F.col("words")).over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    tried = classes.select("*", F.try_divide(F.col("need") - before, rest).alias("c"))
+    good = F.max(F.struct("x", "c")).alias("top")
+    scale = tried.where(F.col("c") * F.col("x") <= 1).groupBy(F.col("source").alias("s")).agg(good)
+    joined = classes.join(scale, F.col("source").eqNullSafe(F.col("s")), "left")
+    return joined.select("source", "x", "words", "need", F.coalesce(F.when(F.col("x") > F.col("top.x"), 1.0).otherwise(F.least(F.col("top.c") * F.col("x"), F.lit(1.0))), F.lit(1.0)).alias("p"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1") -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, inclusion, copies, taken.
 
     ``size`` is the number of words (null text: 0), ``copies`` how often the mix takes the document (0 to 2) and
     ``taken`` its words. Documents without words are never needed to reach a target; they take the certain copies
-    only. Ranks that tie (repeated ids) are told apart by a row number. A null source is a source of its own, the last
+    only. ``inclusion`` is the probability of one more copy than the certain ones. Ranks that tie (repeated ids, or
+    equal texts without one) are told apart by a row number. A null source is a source of its own, the last
     in the order. An empty table gives no rows; other columns of ``docs`` are neither read nor returned.
     """
-    rows = saved(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(whole(text)).alias("size"))
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes)
+    tie = F.md5(whole(text))
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(whole(text)).alias("size"), F.when(F.col(doc_id).isNull(), tie).alias("tie")))
+    rows = rows.withColumn("x", measure(F.col("size")))
+    classes = saved(rows.groupBy("source", "x").agg(F.sum("size").alias("words")))
+    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
     rate = F.try_divide(F.col("target"), F.col("source_size"))
-    targets = targets.select("source", "source_size", "target", F.coalesce(F.floor(rate).cast("int"), F.lit(0)).alias("whole"), F.coalesce(rate - F.floor(rate), F.lit(0.0)).alias("p"))
-    targets = saved(targets.withColumn("need", F.col("p") * F.col("source_size")))
+    targets = targets.select("source", "source_size", "target", F.coalesce(F.floor(rate).cast("int"), F.lit(0)).alias("whole"), F.coalesce(rate - F.floor(rate), F.lit(0.0)).alias("part"))
+    targets = saved(targets.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("part") * F.col("source_size")).alias("need")))
+    sampled = classes.join(targets.where("need > 0"), F.col("source").eqNullSafe(F.col("s")))
+    odds = inclusion(sampled.select("source", "x", "words", "need")).select("source", "x", "p")
+    facts = classes.select("source", "x").join(targets, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("x").alias("c"), "source_size", "target", "whole")
+    odds = odds.select(F.col("source").alias("o"), F.col("x").alias("ox"), "p")
+    facts = saved(facts.join(odds, F.col("s").eqNullSafe(F.col("o")) & (F.col("c") == F.col("ox")), "left").select("s", "c", "source_size", "target", "whole", "p"))
     steps = F.lit(float(1 << RANK_BITS))
-    rank = F.when(F.col("p") > 0, F.least((pareto_rank(uniform(F.col("doc_id"), seed), F.col("p")) * steps).cast("long"), F.lit((1 << RANK_BITS) - 1)))
-    ranked = saved(
-        rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rank", rank)
-    )
+    u = uniform(F.col("doc_id"), seed, F.col("tie"))
+    rank = F.when(F.col("p").isNotNull(), F.least((pareto_rank(u, F.col("p")) * steps).cast("long"), F.lit((1 << RANK_BITS) - 1)))
+    ranked = rows.join(facts, F.col("source").eqNullSafe(F.col("s")) & (F.col("x") == F.col("c")))
+    ranked = saved(ranked.select("row", "doc_id", "source", "size", "source_size", "target", "whole", "p", rank.alias("rank")))
     # the digits before the one where a source crosses its need, and the words below them
-    edge = targets.where("p > 0 and source_size > 0").select(F.col("source").alias("s"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), "need")
+    edge = targets.where("need > 0").select("s", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), "need")
     for shift in range(RANK_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
         inside = ranked.where("rank is not null").join(edge, ranked["source"].eqNullSafe(edge["s"]) & (F.shiftright("rank", shift + DIGIT_BITS) == F.col("prefix")))
         digits = inside.groupBy("s", "prefix", "below", edge["need"], F.shiftright("rank", shift).alias("digit")).agg(F.sum("size").alias("n"))
@@ -114,24 +144,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     out = ranked.join(edge.select("s", "prefix"), ranked["source"].eqNullSafe(F.col("s")), "left").join(at_edge, F.col("row") == F.col("edge_row"), "left")
     extra = F.when(F.col("rank").isNull() | (F.col("size") == 0), 0).when(F.col("rank") < F.coalesce(F.col("prefix"), F.lit(1 << RANK_BITS)), 1).when(F.col("edge_row").isNotNull(), 1).otherwise(0)
     copies = (F.col("whole") + extra).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("p", F.lit(0.0)).alias("inclusion"), copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes each, with all their columns.
+    """The rows of ``docs`` as often as the mix takes each, with all their columns, whatever their names.
 
-    Rows that share an id are told apart by their place among them.
+    Rows that share an id are told apart by their place among them. Null texts and texts without words stay as often
+    as their source takes whole copies; an empty table stays empty.
     """
-    taken = mix(docs, doc_id, text, source, seed)
-    here, keys = docs, [doc_id]
-    repeated = docs.groupBy(doc_id).count().where("count > 1")
-    if not repeated.isEmpty():  # rows of one id share its rank: match them by source and size, then by their order
-        here = docs.withColumn("__size", n_words(whole(text)))
-        here = here.withColumn("__nth", F.row_number().over(Window.partitionBy(doc_id, source, "__size").orderBy(text)))
-        taken = taken.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))))
-        keys = [doc_id, source, "__size", "__nth"]
-    theirs = {doc_id: "doc_id", source: "source", "__size": "size", "__nth": "__nth"}
-    taken = taken.where("copies > 0").select(*[F.col(theirs[k]).alias(f"__k{n}") for n, k in enumerate(keys)], "copies")
-    on = [here[k].eqNullSafe(taken[f"__k{n}"]) for n, k in enumerate(keys)]
-    found = here.join(taken, on)
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select(*docs.columns)
+    taken = mix(docs, doc_id, text, source, seed).select(F.col("doc_id").alias("k0"), F.col("source").alias("k1"), F.col("size").alias("k2"), "copies")
+    here = docs.select(F.struct("*").alias("d"), F.col(doc_id).alias("h0"), F.col(source).alias("h1"))
+    keys = 1
+    if not docs.groupBy(doc_id).count().where("count > 1").isEmpty():  # rows of one id: matched by source and size, then by their order
+        keys = 4
+        here = here.withColumn("h2", n_words(whole(F.col("d").getField(text))))
+        here = here.withColumn("h3", F.row_number().over(Window.partitionBy("h0", "h1", "h2").orderBy(F.col("d").getField(text))))
+        taken = taken.withColumn("k3", F.row_number().over(Window.partitionBy("k0", "k1", "k2").orderBy(F.desc("copies"))))
+    on = [F.col(f"h{k}").eqNullSafe(F.col(f"k{k}")) for k in range(keys)]
+    found = here.join(taken.where("copies > 0"), on)
+    return found.select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
