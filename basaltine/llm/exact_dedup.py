@@ -98,12 +98,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    verdict = exact_dedup(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    here = docs.withColumn("__text_sha", F.sha2(lower_ascii(whole(text)), 256))
-    found = here.join(verdict, here[doc_id].eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha")))
-    key = [doc_id, "__text_sha"]
-    repeated = docs.groupBy(doc_id).count().where("count > 1")
-    if not repeated.isEmpty():  # the same id and text more than once: one of them stays
-        found = found.dropDuplicates(key)
-    return found.select(*docs.columns)
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever their names.
+
+    Null texts are empty ones, so one of both stays; of rows with the same id and text one stays.
+    """
+    verdict = exact_dedup(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s"))
+    here = docs.select(F.struct("*").alias("d"), F.col(doc_id).alias("id"), F.sha2(lower_ascii(whole(text)), 256).alias("sha"))
+    found = here.join(verdict, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")))
+    if not docs.groupBy(doc_id).count().where("count > 1").isEmpty():  # the same id and text more than once: one of them stays
+        found = found.dropDuplicates(["id", "sha"])
+    return found.select("d.*")

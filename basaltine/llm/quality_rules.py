@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.llm.words import WORD, whole, words
+from basaltine.llm.words import WORD, where_computed, whole, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -70,17 +70,12 @@ def _repeat_words() -> Column:
     return F.when(F.size(F.array_distinct("windows")) < F.size("windows"), sorted_), places
 
 
-def ledger(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """``docs`` with the measurements and ``failed``, the bits of the rules that a document fails (long).
-
-    A null text has no words; every measurement of it is 0. Columns of ``docs`` that have the name of a measurement
-    or of ``failed`` are replaced. Repeated rows and an empty table need nothing special.
-    """
+def _measured(docs: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
+    """d, the columns of ``docs`` as they are; the measurements; ``failed``."""
     pairs, places = _repeat_words()
-    own = [c for c in docs.columns if c not in {*MEASURES, "failed", "words", "windows", "pairs", "places"}]
-    t = F.col("__text")
-    out = docs.withColumn("__text", whole(docs[text]) if text in docs.columns else F.lit(""))
-    out = out.select(*own, "__text", words(t).alias("words"), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)).alias("__lines"))
+    t = F.col("t")
+    out = docs.select(F.struct("*").alias("d"), whole(text).alias("t"))
+    out = out.select("d", "t", words(t).alias("words"), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
     w = F.col("words")
     triples = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     out = out.select("*", F.when(F.size(w) >= 3, triples).otherwise(F.array().cast("array<bigint>")).alias("windows"))
@@ -94,13 +89,13 @@ def ledger(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> Da
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
         F.regexp_count(t, F.lit("!")).cast("long").alias("n_exclaims"),
     )
     # one element: the optimiser moves no filter below it, where every measurement would be computed once more
-    out = out.select(*own, F.explode(F.array(measured)).alias("__m")).select(*own, "__m.*")
+    out = out.select("d", F.explode(F.array(measured)).alias("m")).select("d", "m.*")
     bits = [F.when(F.expr(r.fails), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, r in enumerate(rules)]
     failed = bits[0]
     for b in bits[1:]:
@@ -108,6 +103,21 @@ def ledger(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> Da
     return out.withColumn("failed", failed)
 
 
+def ledger(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+    """``docs`` with the measurements and ``failed``, the bits of the rules that a document fails (long).
+
+    A null text has no words; every measurement of it is 0. Columns of ``docs`` that have the name of a measurement
+    or of ``failed`` are replaced, all others stay as they are. Repeated rows and an empty table need nothing special.
+    """
+    own = [F.col("d").getField(c).alias(c) for c in docs.columns if c not in {*MEASURES, "failed"}]
+    return _measured(docs, text, rules).select(*own, *MEASURES, "failed")
+
+
+def kept_documents(docs: DataFrame, policy: str | tuple[str, ...] | None = None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass a policy (the current one), with all their columns, whatever their names."""
+    return where_computed(_measured(docs, text, RULES), passes(CURRENT if policy is None else policy)).select("d.*")
+
+
 def passes(policy: str | tuple[str, ...]) -> Column:
     """Whether a row of the ledger passes a policy."""
     return F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0

@@ -250,10 +250,13 @@ def hex16(fp: Column) -> Column:
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, with all its columns: that of the smallest id."""
-    verdict = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
-    here = docs.withColumn("__text_hash", F.xxhash64(whole(text)))
-    found = here.join(verdict, here[doc_id].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")))
+    """One document of each component, that of the smallest id, with all its columns, whatever their names.
+
+    Texts without words are one component; of rows with the same id and text one stays.
+    """
+    verdict = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")).distinct()
+    here = docs.select(F.struct("*").alias("d"), F.col(doc_id).alias("id"), F.xxhash64(whole(text)).alias("hash"))
+    found = here.join(verdict, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("t")))
     if not docs.groupBy(doc_id).count().where("count > 1").isEmpty():  # equal rows: one of them stays
-        found = found.dropDuplicates([doc_id, "__text_hash"])
-    return found.select(*docs.columns)
+        found = found.dropDuplicates(["id", "hash"])
+    return found.select("d.*")
