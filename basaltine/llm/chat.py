@@ -3,7 +3,10 @@
 Messages name their parents. Pointer doubling, a self-join a round, takes every message to its root and adds up the
 scores on the way; the leaves of a conversation are ranked by their paths' scores, and the chosen paths are spelled out
 by the same jump tables, from the longest jump to the shortest. Depth costs a logarithm of rounds, not a round a turn,
-and only chosen paths meet their texts.
+and only chosen paths meet their texts: the jump tables hold ids and numbers alone.
+
+Where all texts are chosen anyway, as in conversations without branches, texts and paths are shuffled once, together
+and by conversation, and meet in sorted windows of that one exchange; a conversation is one row in the end.
 
 A turn is written as ``### role: text</turn>`` and a line end. Inside texts and roles a backslash is doubled and every
 ``###`` and ``</turn>`` is broken up by one, so that the marks never come from a text; dropping one backslash before
@@ -97,8 +100,13 @@ def format_trees(messages: DataFrame, best: int = 1, learn: str = "assistant") -
     """
     paths = chosen_paths(messages.select("conv", "node", "parent", "score"), best)
     texts = messages.select(F.col("conv").alias("b_conv"), F.col("node").alias("b_node"), whole("role").alias("role"), whole("text").alias("text"))
+    return _formatted(paths.join(texts, _on(paths, texts, node="b_node")), learn)
+
+
+def _formatted(turns: DataFrame, learn: str) -> DataFrame:
+    """Turns (conv, leaf, place, distance, role, text), none null, to a row per path."""
     head = F.concat(F.lit(HEAD), F.replace(escaped(F.col("role")), F.lit(":"), F.lit("\\:")), F.lit(MIDDLE))
-    turns = paths.join(texts, _on(paths, texts, node="b_node")).select("conv", "leaf", "place", "distance", (F.col("role") == learn).alias("learn"), head.alias("head"), escaped(F.col("text")).alias("body"))
+    turns = turns.select("conv", "leaf", "place", "distance", (F.col("role") == learn).alias("learn"), head.alias("head"), escaped(F.col("text")).alias("body"))
     size = F.length("head") + F.length("body") + len(END)
     before = Window.partitionBy("conv", "leaf").orderBy(F.desc("distance")).rowsBetween(Window.unboundedPreceding, -1)
     placed = turns.withColumn("start", (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")).cast("long"))
@@ -114,14 +122,26 @@ def format_trees(messages: DataFrame, best: int = 1, learn: str = "assistant") -
     )
 
 
-def linear_messages(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as trees without branches: each turn answers the one before.
+def format_conversations(conversations: DataFrame, learn: str = "assistant") -> DataFrame:
+    """Rows (conv_id, turn, role, text) without branches, each turn the answer to the one before: as ``format_trees``.
 
-    Rows of a conversation go by turn, nulls first; rows with one turn by role and text.
+    Rows of a conversation go by turn, nulls first; rows with one turn by role and text; a null conv_id is a
+    conversation, null roles and texts are empty. An empty table gives no rows; other columns are not read.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = saved(conversations.select(F.col("conv_id").alias("conv"), F.row_number().over(order).cast("long").alias("node"), "role", "text"))
-    return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
+    # the tree needs only how many rows a conversation has
+    counts = conversations.groupBy(F.col("conv_id").alias("conv")).agg(F.count("*").alias("n"))
+    nodes = counts.select("conv", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("node"))
+    nodes = nodes.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"))
+    paths = chosen_paths(nodes).select("conv", "node", "leaf", "place", "distance")
+    texts = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", "text", F.lit(True).alias("said"))
+    both = texts.unionByName(paths.withColumn("said", F.lit(False)), allowMissingColumns=True)
+    # all windows are by conversation first, so one exchange serves them
+    order = Window.partitionBy("conv").orderBy(F.desc("said"), "turn", "role", "text")
+    both = both.withColumn("node", F.when(F.col("said"), F.row_number().over(order).cast("long")).otherwise(F.col("node")))
+    meet = Window.partitionBy("conv", "node").orderBy("said").rowsBetween(-1, -1)
+    path = F.first(F.struct("leaf", "place", "distance")).over(meet)
+    met = both.select("conv", "said", whole("role").alias("role"), whole("text").alias("text"), path.alias("path")).where("said")
+    return _formatted(met.select("conv", "path.*", "role", "text"), learn)
 
 
 def read_back(formatted: Column) -> Column:
