@@ -5,9 +5,13 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from basaltine.llm import chat, exact_dedup, license_scan, mixing, pieces, quality_rules, simhash, surrogates, token_counts, toxicity
+from basaltine.llm import chat, exact_dedup, license_scan, mixing, pieces, pipeline, quality_rules, simhash, surrogates, token_counts, toxicity
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, name string, row long, kept boolean, failed long, ids string, score string, count long"
+#: Names that operators use inside, and names of results.
+INNER = """__row __text d t m p h i s x w u c id k0 k1 k2 h0 h1 h2 h3 raws parts news at lead value kind kinds canon gender title surrogate n_entities words windows pairs places lines
+n_words word_chars n_symbols start first share license size copies taken target rank whole need tie inclusion source_size conv node leaf place said path routes blocks norm name2 level
+fp best bucket root component_id fingerprint text_hash text_sha256 keep_id group_size sha hash tokens n_bytes n_tokens over_limit decoded spans __s __copy col""".split()
 LONG = "word after word. " * 3000
 TEXTS = [None, "", "   \n\t", "Released under the MIT License.", LONG, "a@b.example.com " * 3, "same text here", "same text here", "SAME text here"]
 MODEL = toxicity.fit(["you idiot clown", "a fine day", "idiot again here", "all is well here"] * 30, [1, 0, 1, 0] * 30, rounds=20)
@@ -16,6 +20,7 @@ MODEL = toxicity.fit(["you idiot clown", "a fine day", "idiot again here", "all
 @pytest.fixture(scope="module")
 def docs(spark):
     data = [(k, t, None, None if k % 3 else "s", None, "x", 1, True, 0, "i", "z", 5) for k, t in enumerate(TEXTS)]
+    data += [(20, " ".join(f"w{k}" for k in range(60)), "en", "t", 1, "x", 1, True, 0, "i", "z", 5)]
     data += [data[6], (None, "null id", "en", "t", 1, None, None, None, None, None, None, None)]
     return spark.createDataFrame(data, DDL)
 
@@ -35,6 +40,36 @@ def operators(bpe, model):
     }
 
 
+@pytest.fixture(scope="module")
+def clashing(docs):
+    named = docs.columns
+    return docs.select(*named, *[F.lit(f"kept {n}").alias(n) for n in INNER if n not in named])
+
+
+def test_names_clash_with_nothing(clashing, tokenizers):
+    """Every operator on a table with all names that operators use; columns that are carried along keep their values."""
+    replaced = {2: {"ids", "decoded"}, 3: {"score", "spans"}, 4: {*quality_rules.MEASURES, "failed"}, 9: {"n_entities", "kinds"}}
+    for number, run in operators(*tokenizers).items():
+        out = run(clashing)
+        rows = out.collect()
+        if number in replaced:
+            assert len(rows) == clashing.count() and set(out.columns) == set(clashing.columns) | replaced[number]
+            assert all(r[n] == f"kept {n}" for r in rows for n in INNER if n in clashing.columns and n not in replaced[number])
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in pipeline.STAGES])
+def test_stages_on_odd_rows(spark, clashing, stage):
+    run = dict(pipeline.STAGES)[stage]
+    last = stage == pipeline.STAGES[-1][0]
+    assert run(spark, clashing.limit(0), "").collect() == []
+    out = run(spark, clashing, "")
+    rows = out.collect()
+    assert out.columns == clashing.columns and 0 < len(rows) <= 2 * clashing.count()
+    assert all(r[n] == f"kept {n}" for r in rows for n in INNER) or last
+    inputs = {(r["doc_id"], r["text"]) for r in clashing.collect()}
+    assert {(r["doc_id"], r["text"]) for r in rows} <= inputs
+
+
 @pytest.mark.parametrize("number", range(1, 11))
 def test_empty_table_and_odd_rows(spark, docs, tokenizers, number):
     run = operators(*tokenizers)[number]

@@ -160,6 +160,31 @@ def test_quality_ledger_and_ablation(spark):
     assert led.where(quality_rules.passes("base")).count() == 3
 
 
+def test_ablation_over_the_documents(spark, documents):
+    """Bitwise counts against each rule's verdicts one by one."""
+    led = quality_rules.ledger(documents).toPandas()
+    bits = {r.name: 1 << k for k, r in enumerate(quality_rules.RULES)}
+    for version, names in quality_rules.POLICIES.items():
+        failed = led["failed"] & quality_rules.mask(version)
+        want = {n: (int((failed & bits[n] != 0).sum()), int((failed == bits[n]).sum())) for n in names}
+        assert {r["rule"]: (r["rejected"], r["rejected_alone"]) for r in quality_rules.ablation(quality_rules.ledger(documents), version).collect()} == want
+
+
+def test_token_and_piece_queries(spark, documents, tokenizers):
+    """The registered queries against the libraries."""
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    lib, sp = Tokenizer.from_file(tokenizers[0]), sentencepiece.SentencePieceProcessor(model_file=tokenizers[1])
+    for r in registry.op7_token_counts(spark, SF).collect():
+        n = len(lib.encode(texts[r["doc_id"]], add_special_tokens=False))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 1024)
+    found = registry.op2_sentencepiece(spark, SF).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = sp.encode(texts[r["doc_id"]])
+        back = sp.decode(ids)
+        assert (r["n_pieces"], r["decoded_bytes"], r["round_trip"]) == (len(ids), len(back.encode()), back == texts[r["doc_id"]])
+
+
 def test_mix_reaches_its_targets(spark):
     rng = random.Random(9)
     data = [(k, "w " * rng.randrange(0, 40), "abcdefg"[min(6, rng.randrange(12))]) for k in range(3000)]
@@ -171,6 +196,22 @@ def test_mix_reaches_its_targets(spark):
     assert out.sort_values("doc_id")["taken"].tolist() == mixing.mix(df.repartition(7)).toPandas().sort_values("doc_id")["taken"].tolist()
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(k, "w " * int(rng.lognormvariate(3, 1.5)), "ab"[k % 3 == 0]) for k in range(1500)], "doc_id long, text string, source string").cache()
+    sums, p, runs = {}, {}, 8
+    for seed in range(runs):
+        for r in mixing.mix(df, seed=f"s{seed}").where("inclusion > 0 and size > 0").collect():
+            p[r["doc_id"]] = r["inclusion"]
+            sums[r["doc_id"]] = sums.get(r["doc_id"], 0) + r["copies"] - int(r["target"] // r["source_size"])
+    assert len({round(v, 6) for v in p.values()}) >= 6 and max(p.values()) > 2 * min(p.values())
+    for low, high in ((0, 0.25), (0.25, 0.4), (0.4, 0.55), (0.55, 1)):
+        some = [i for i in p if low <= p[i] < high]
+        if len(some) > 30:
+            assert sum(sums[i] for i in some) / runs / len(some) == pytest.approx(sum(p[i] for i in some) / len(some), abs=0.05)
+    assert all(sums[i] == runs for i in p if p[i] == 1)
+
+
 def test_licenses_in_altered_notices(spark):
     grant = license_scan.TEMPLATES["mit-grant"]
     texts = ["x " * 100 + grant.upper().replace(" ", "\n") + " y" * 100, grant.replace("copy of this software", "duplicate of this software"), "Licensed under the terms", "word " * 500]
@@ -179,6 +220,47 @@ def test_licenses_in_altered_notices(spark):
     assert got[0, "mit-grant"] == (100, 1) and (1, "mit-grant") in got and len(got) == 2
 
 
+def test_bands_find_what_brute_force_finds(spark):
+    """Notices among noise, with words changed: recall against the containment at every place, and no false hits."""
+    assert license_scan.collision(0.5) > 0.9999 and license_scan.collision(0.25) > 0.998
+    rng = random.Random(13)
+    token = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+    notices = {k: token.findall(t.lower()) for k, t in license_scan.TEMPLATES.items()}
+    texts = []
+    for _ in range(240):
+        out = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(120))]
+        for _ in range(rng.randrange(1, 3)):
+            words = list(notices[rng.choice(list(notices))])
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = "changed"
+            out += words + [f"w{rng.randrange(500)}" for _ in range(rng.randrange(60))]
+        texts.append(" ".join(out))
+    texts.append("w " * 5000 + " ".join(notices["mit-license"]) + " w" * 5000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["license"]): r["containment"] for r in license_scan.license_scan(df).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        words = token.findall(text)
+        here = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        for name, notice in notices.items():
+            if len(notice) < 5:
+                if any(words[i : i + len(notice)] == notice for i in range(len(words))):
+                    want[d, name] = 1.0
+                continue
+            grams = [tuple(notice[i : i + 5]) for i in range(len(notice) - 4)]
+            slack, best = max(2, len(grams) // 4), 0.0
+            for first in {p - o for p, g in enumerate(here) for o, t in enumerate(grams) if g == t}:
+                place = here[max(0, first - slack) : max(0, first + len(grams) + slack)]
+                best = max(best, len(set(grams) & set(place)) / len(set(grams)))
+            if best >= license_scan.CONTAINED:
+                want[d, name] = best
+    assert len(want) > 200 and set(found) <= set(want)
+    assert len(found) >= 0.99 * len(want) and all(found[k] == pytest.approx(want[k]) for k in found)
+    # the anchors lose nothing: every text with a find has one
+    chosen = set(license_scan.anchors(notices))
+    assert all(chosen & set(token.findall(texts[d])) for d, _ in want) and len(chosen) < 60
+
+
 def test_licenses_of_fewer_than_five_words(spark):
     texts = ["All rights reserved.", "a b\nALL RIGHTS RESERVED, all rights reserved", "all rights were reserved", "small rights reserved", "Reserved", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -237,9 +319,52 @@ def test_entities_without_a_digit(spark):
     assert spark.createDataFrame([(t,) for t in several], "t string").where(F.col("t").rlike(surrogates.PATTERN) & F.col("t").rlike(surrogates.HINT)).count() == len(several)
 
 
+def test_names_agree_with_and_without_titles(spark):
+    texts = ["Mrs. Anna Ivanova met Dr. Anna Ivanova. Later Anna Ivanova left; Ivanova's dog stayed.", "Mrs. Anna Maria Ivanova, Herr Dr. Schmidt and Mr. ANNA IVANOVA", "Anna went home"]
+    out = [r["text"] for r in surrogates.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    first = re.fullmatch(r"Mrs\. (\w+ \w+) met Dr\. (\w+ \w+)\. Later (\w+ \w+) left; (\w+)'s dog stayed\.", out[0])
+    given, surname = first[1].split()
+    assert first[1] == first[2] == first[3] and first[4] == surname and given.endswith("a")
+    second = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+), Herr Dr\. (\w+) and Mr\. (\w+ \w+)", out[1])
+    assert second[1] == given and second[3] == surname and second[5] == f"{given} {surname}".upper() and second[2].endswith("a")
+    assert not re.search("(?i)anna|maria|ivanova|schmidt", out[0] + out[1]) and out[2] == texts[2]
+
+
+def test_addresses_in_other_scripts_and_versions(spark):
+    texts = ["josé@x.org wrote", "2001:db8::ff00:42:8329. and FE80::1, 2001:DB8::ff00:42:8329", "std::vector at 10:20:30 or a::b"]
+    out = [r["text"] for r in surrogates.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"[a-z]{4}@[a-z]\.example\.\w+ wrote", out[0]) and out[2] == texts[2]
+    six = re.fullmatch(r"(fd[0-9a-f:]{37})\. and (fd[0-9a-f:]{37}), (fd[0-9a-f:]{37})", out[1])
+    assert six[1] == six[3] != six[2]
+
+
+def test_surrogates_against_plain_matching(spark, documents):
+    """All matches that the pattern has in plain code are replaced, by one surrogate each, and nothing else changes."""
+    import regex
+
+    out = {r["doc_id"]: r for r in surrogates.with_surrogates(documents.select("doc_id", "text"), "k").collect()}
+    pattern = regex.compile(surrogates.PATTERN)
+    names = regex.compile(surrogates._TITLED)
+    seen, total = {}, 0
+    for r in documents.collect():
+        if r["text"] is None or names.search(r["text"]):
+            continue
+        raws = [m.group() for m in pattern.finditer(r["text"])]
+        total += len(raws)
+        assert out[r["doc_id"]]["n_entities"] == len(raws)
+        between = pattern.split(r["text"])
+        new = re.fullmatch("(.+?)".join(map(re.escape, between)), out[r["doc_id"]]["text"], re.S)
+        for raw, mine in zip(raws, new.groups(), strict=True):
+            digits = re.sub(r"\D", "", raw)
+            key = raw.lower() if "@" in raw else digits if len(re.sub(r"[\d+(). -]", "", raw)) == 0 and "." not in raw else raw
+            got = mine.lower() if "@" in mine else re.sub(r"\D", "", mine) if key == digits else mine
+            assert seen.setdefault(key, got) == got and got != key
+    assert total > 20 and len(set(seen.values())) == len(seen)
+
+
 def test_colliding_surrogates_move_on(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "_surrogate", lambda key: F.concat(F.lit("s"), F.pmod(F.xxhash64("canon", "attempt"), F.lit(40)).cast("string")))
-    entities = spark.createDataFrame([("x", f"s{k}" if k < 3 else f"c{k}", "") for k in range(20)], "kind string, canon string, gender string")
+    entities = spark.createDataFrame([("x", f"s{k}" if k < 3 else f"c{k}", "") for k in range(20)] * 2, "kind string, canon string, gender string")
     found = surrogates.surrogates(entities, "k").collect()
     assert len(found) == 20 == len({r["surrogate"] for r in found}) and not {"s0", "s1", "s2"} & {r["surrogate"] for r in found}
 
@@ -255,12 +380,12 @@ def test_surrogates_where_a_format_runs_out(spark):
     assert len(new) == len(entities) and not new & {e[:2] for e in entities}
     assert all(re.fullmatch(r"[a-z]+@[a-z]\.example\.(com|net|org)", s) for k, s in new if k == "email")
     assert all(re.fullmatch(r"1\d{5,}", s) for k, s in new if k == "phone")
-    late = spark.createDataFrame([(k, c, g, n) for k, c, g in [("ip", "8.8.8.8", ""), ("name", "ann lee", "f"), ("card", "4337166598464399", "")] for n in (7, 8, 63)], "kind string, canon string, gender string, attempt int")
+    late = spark.createDataFrame([(k, c, g, n) for k, c, g in [("ip", "8.8.8.8", ""), ("name", "ann", "f"), ("card", "4337166598464399", "")] for n in (7, 8, 63)], "kind string, canon string, gender string, attempt int")
     out = {(r["kind"], r["attempt"]): r["s"] for r in late.withColumn("s", surrogates._surrogate("k")).collect()}
     assert out["ip", 7].startswith("10.") and re.fullmatch(r"fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", out["ip", 8])
-    assert [len(out["name", n].split()[0]) - len(out["name", 7].split()[0]) for n in (8, 63)] == [2, 48]
+    assert [len(out["name", n]) - len(out["name", 7]) for n in (8, 63)] == [2, 48] and out["name", 8].endswith("a")
     assert [len(out["card", n]) for n in (7, 8, 63)] == [16, 17, 40]
-    written = surrogates._written(F.lit("+1 23 45"), F.lit("phone"), F.lit("+1 23 45"), F.lit("1678901"))
+    written = surrogates._written(F.lit("phone"), F.lit("+1 23 45"), F.lit("1678901"))
     assert spark.range(1).select(written.alias("w")).first()["w"] == "+1 67 8901"
 
 
@@ -275,6 +400,22 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert (toxic[:, None] > clean[None]).mean() > 0.9
 
 
+def test_models_of_one_sample_are_kept_apart():
+    texts, labels = ["you idiot clown", "a fine day", "idiot again here", "all is well here"] * 30, [1, 0, 1, 0] * 30
+    short, full = toxicity.fit(texts, labels, rounds=3), toxicity.fit(texts, labels, rounds=40)
+    alone = full.score(texts[:4])[0]
+    short.score(texts[:4])
+    assert short.name != full.name and full.score(texts[:4])[0] == alone
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(50)] + [(7, "a"), (None, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, toxic int")
+    texts, y, _ = toxicity.labelled_sample(docs, labels, 10, 10)
+    assert len(texts) == 20 and sum(y) == 10
+    assert len(toxicity.labelled_sample(docs, labels, 10, 10, 750)[0]) in (7, 8)
+
+
 def test_chain_marginals_are_exact():
     rng = np.random.default_rng(3)
     trans, start, lengths = rng.normal(size=(2, 2)), 0.3, np.array([5, 1, 0, 4])
