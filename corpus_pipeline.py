@@ -1,60 +1,5 @@
-"""The corpus pipeline: five stages, each the work of one operator, each written as Parquet for the next."""
+"""The corpus pipeline over the documents; its stages are in ``basaltine.llm.pipeline``."""
 
-from __future__ import annotations
+from basaltine.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from basaltine.llm import exact_dedup, mixing, pieces, quality_rules, simhash
-from basaltine.llm.scratch import saved
-from basaltine.llm.words import where_computed
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current version of the quality policy."""
-    led = quality_rules.ledger(docs)
-    return where_computed(led, quality_rules.passes(quality_rules.CURRENT)).select(*docs.columns)
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts."""
-    return exact_dedup.kept_documents(docs)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.kept_documents(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them; a document taken twice is two rows."""
-    return mixing.mixed_documents(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces."""
-    return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", quality),
-    ("exact dedup", exact),
-    ("SimHash near-dedup", near),
-    ("mixing sources", mix),
-    ("SentencePiece encoding", encode),
-]
-
-#: SQL cannot state the fingerprints' components and the pieces; the tests hold the stages against plain versions.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of ``sf_dir``; the others are written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
