@@ -14,8 +14,8 @@ window; near it the shingles, as words and not as hashes, are compared with the
 where at least ``CONTAINED`` of them are there.
 
 Only texts with an anchor word go so far: a template's anchors are in so many of its shingles that a text without them
-has too few of the template's shingles. The bands of the templates are joined to those of the texts; they
-are broadcast by Spark where they are few, as those of the table here are. The only shuffle is of the windows found.
+has too few of the template's shingles. The bands of the templates are joined to those of the texts; they are
+broadcast where there are at most ``SMALL``, as of the table here. Then the only shuffle is of the windows found.
 
 A template of fewer than five words has no shingle: it is found wherever a text has just these words in a row.
 """
@@ -31,6 +31,8 @@ from basaltine.llm.scratch import saved
 from basaltine.llm.words import where_computed, whole
 
 SHINGLE, CHUNK, ROWS, BANDS, CONTAINED = 5, 32, 1, 24, 0.8
+#: Band keys of templates up to which their tables are broadcast; beyond it both sides of the joins are shuffled.
+SMALL = 500_000
 #: Words of a text that are searched together, beside what they overlap by.
 SEGMENT = 2048
 #: Words for this scan: letters and digits, with inner dots, hyphens and apostrophes.
@@ -219,11 +221,13 @@ def long_places(segments: DataFrame, words: dict[str, list[str]], contained: flo
     """row, doc_id, license, share, first: where windows retrieve a template, and how much of it is there."""
     spark = segments.sparkSession
     scales = sorted({scale for w in words.values() for scale, _ in template_chunks(w)})
-    met = window_bands(segments, scales).join(template_bands(spark, words), "key").select("row", "start", "license", "first", "size").distinct()
+    few = sum(len(template_chunks(w)) * BANDS for w in words.values()) <= SMALL
+    sized = F.broadcast if few else (lambda df: df)
+    met = window_bands(segments, scales).join(sized(template_bands(spark, words)), "key").select("row", "start", "license", "first", "size").distinct()
     shapes = spark.createDataFrame([(k, [" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)], _slack(len(w) - SHINGLE + 1)) for k, w in words.items()], "license string, shingles array<string>, slack int")
     # the windows of a segment that retrieve a template: as many as the segment has at most
     asked = met.groupBy("row", "start", "license").agg(F.collect_list(F.struct("first", "size")).alias("windows"))
-    near = segments.join(asked, ["row", "start"]).join(shapes, "license")
+    near = segments.join(asked, ["row", "start"]).join(sized(shapes), "license")
     near = near.select("row", "doc_id", "start", "license", "shingles", "slack", "windows", shingles(F.col("w"), False).alias("here"))
     m, slack = F.size("shingles"), F.col("slack")
     # every shingle of the template that a window's surroundings have tells where the template would begin
