@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters of patterns that are looked for together.
+MANY = 1 << 20
+
+
 def index_of(text: Column, pattern: str) -> Column:
     """The first place of a pattern; 0 for an empty one."""
     return F.lit(0) if pattern == "" else F.instr(text, F.lit(pattern)) - 1
@@ -15,12 +19,38 @@ def index_of(text: Column, pattern: str) -> Column:
 
 def index_of_byte(data: Column, byte: int, start: int = 0, end: int | None = None) -> Column:
     """The first place of a byte in [start, end) of binary data."""
+    return index_of_bytes(data, bytes([byte]), start, end)
+
+
+def _bytes_as_text(data: Column) -> Column:
+    """One character a byte, so that places in the text are places in the data."""
+    return F.decode(data, "ISO-8859-1")
+
+
+def index_of_bytes(data: Column, pattern: bytes, start: int = 0, end: int | None = None) -> Column:
+    """The first place from ``start`` on of some bytes that end at ``end`` or before; ``start`` for an empty pattern."""
     part = F.substring(data, F.lit(start + 1), F.lit((1 << 30) if end is None else max(0, end - start)))
-    at = F.instr(F.hex(part), F.lit(f"{byte:02X}"))
-    # a match at an even place of the hexadecimal text is inside a byte: look byte by byte then
-    exact = F.array_position(F.transform(F.sequence(F.lit(0), F.octet_length(part) - 1), lambda i: F.hex(F.substring(part, i + 1, F.lit(1)))), f"{byte:02X}")
-    found = F.when(at == 0, F.lit(-1)).when(at % 2 == 1, ((at - 1) / 2).cast("int")).otherwise(exact.cast("int") - 1)
-    return F.when(found < 0, -1).otherwise(found + start)
+    if not pattern:
+        return F.when(F.octet_length(data) >= start, F.lit(start)).otherwise(F.lit(-1))
+    at = F.instr(_bytes_as_text(part), F.lit(pattern.decode("latin-1")))
+    return F.when(at == 0, F.lit(-1)).otherwise(at - 1 + start)
+
+
+def last_index_of_bytes(data: Column, pattern: bytes, end: int | None = None) -> Column:
+    """The last place of some bytes that end at ``end`` or before; for an empty pattern, where the search begins."""
+    part = data if end is None else F.substring(data, F.lit(1), F.lit(end))
+    if not pattern:
+        return F.octet_length(part)
+    back = F.instr(F.reverse(_bytes_as_text(part)), F.lit(pattern[::-1].decode("latin-1")))
+    return F.when(back == 0, F.lit(-1)).otherwise(F.octet_length(part) - back - len(pattern) + 1)
+
+
+def index_of_utf16(text: Column, pattern: str) -> Column:
+    """The first place of a pattern in 16-bit units, of which characters over U+FFFF take two; 0 for an empty one."""
+    at = F.instr(text, F.lit(pattern))
+    before = F.substring(text, F.lit(1), at - 1)
+    units = F.length(before) + F.regexp_count(before, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.lit(0) if pattern == "" else F.when(at == 0, F.lit(-1)).otherwise(units)
 
 
 def last_index_of(text: Column, character: str) -> Column:
@@ -64,3 +94,22 @@ def locate_all(df: DataFrame, row_id: str, text: str, pattern: str) -> DataFrame
     )["at"]
     starts = F.when(F.startswith(t, F.lit(pattern)), ends).otherwise(F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 1, F.lit(0))))
     return df.where(F.instr(t, F.lit(pattern)) > 0).select(row_id, F.explode(starts).alias("at"))
+
+
+def count_many(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """patterns (query, pattern) to query, count: how often each comes in all texts together, overlaps included.
+
+    The patterns are joined as one array, a row, so each text is read once; they fit in it by their sum of lengths,
+    of which ``MANY`` is the bound.
+    """
+    asked = patterns.agg(F.collect_list(F.struct("query", "pattern")).alias("asked"), F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("size"))
+    asked = asked.select(F.when(F.col("size") > MANY, F.raise_error(F.lit("too many patterns at once"))).otherwise(F.col("asked")).alias("asked"))
+    # one row of bounded size
+    each = df.select(text).crossJoin(F.broadcast(asked)).select(F.explode(F.transform("asked", lambda a: F.struct(a["query"].alias("query"), _count_of(F.col(text), a["pattern"]).alias("n")))).alias("x"))
+    found = each.select("x.*").groupBy("query").agg(F.sum("n").alias("n"))
+    return patterns.select("query").join(found, "query", "left").select("query", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"))
+
+
+def _count_of(text: Column, pattern: Column) -> Column:
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(pattern, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    return F.regexp_count(text, quoted)

@@ -84,6 +84,14 @@ def reduce_words(df: DataFrame, key: str, word: str) -> DataFrame:
     return df.groupBy(key).agg(F.bit_or(word).alias("any"), F.bit_and(word).alias("every"), F.sum(word).alias("total"))
 
 
+def extremes(df: DataFrame, column: str) -> DataFrame:
+    """sum, min and max of a column that must have rows; an empty one fails the query."""
+    c = F.col(column)
+    found = df.agg(F.count(c).alias("n"), F.coalesce(F.sum(c.cast("bigint")), F.lit(0).cast("bigint")).alias("sum"), F.min(c).alias("min"), F.max(c).alias("max"))
+    checked = lambda name: F.when(F.col("n") == 0, F.raise_error(F.lit("no value to take the least of"))).otherwise(F.col(name)).alias(name)
+    return found.select("sum", checked("min"), checked("max"))
+
+
 def same_values(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """One row, ``equal``: whether two keyed columns hold the same values at the same places."""
     left, right = a.select(key, F.col(value).alias("x")), b.select(key, F.col(value).alias("y"))

@@ -9,22 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basaltine.sources.scratch import saved
 
-def shortest_distances(edges: DataFrame, source: int, rounds: int = 10_000, checkpoint_every: int = 4) -> DataFrame:
+
+def shortest_distances(edges: DataFrame, source: int, rounds: int = 10_000) -> DataFrame:
     """edges (src, dst, weight >= 0) to node, distance, parent of every node that a source reaches.
 
-    A round relaxes the edges of the nodes that got nearer in the last one. Every few rounds the state is written to
-    the session's checkpoint folder, which cuts the plan.
+    A round relaxes the edges of the nodes that got nearer in the last one, and its state is written to the shared
+    folder, which cuts the plan and survives lost executors.
     """
     spark = edges.sparkSession
     known = spark.createDataFrame([(source, 0.0, None)], "node bigint, distance double, parent bigint")
     frontier = known
-    for n in range(1, rounds + 1):
+    for _ in range(rounds):
         found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("node").alias("parent"))
         both = known.withColumn("old", F.lit(True)).unionByName(found.withColumn("old", F.lit(False)))
         best = both.groupBy("node").agg(F.min(F.struct("distance", (~F.col("old")).alias("new"), "parent")).alias("b"))
         state = best.select("node", "b.distance", "b.parent", "b.new")
-        state = state.checkpoint() if n % checkpoint_every == 0 and spark.sparkContext.getCheckpointDir() else state.persist()
+        state = saved(state)
         frontier = state.where("new").select("node", "distance", "parent")
         known = state.select("node", "distance", "parent")
         if frontier.isEmpty():

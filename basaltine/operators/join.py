@@ -35,11 +35,30 @@ def build_facts(build: DataFrame, key: str) -> DataFrame:
 
 
 def lookup(probe: DataFrame, mapping: DataFrame, key: str, value: str) -> DataFrame:
-    """Every probe row with the value of its key and whether there is one; keys of the mapping are unique."""
-    known = mapping.select(key, F.col(value), F.lit(True).alias("present"))
+    """Every probe row with the value of its key and whether there is one; a key that the mapping repeats fails the query."""
+    once = mapping.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.first(value).alias(value))
+    known = once.select(key, F.when(F.col("__n") > 1, F.raise_error(F.lit("a key of the mapping is repeated"))).otherwise(F.col(value)).alias(value), F.lit(True).alias("present"))
     return probe.join(known, key, "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
+def gather(rows: DataFrame, row_ids: DataFrame, column: str, zero: int | str = 0) -> DataFrame:
+    """row_ids (place, row_id) to place, value, valid: the values at rows in the order asked; null gives ``zero`` and 0."""
+    found = row_ids.join(rows.select("row_id", F.col(column).alias("value"), F.lit(True).alias("there")), "row_id", "left")
+    checked = F.when(F.col("there").isNull(), F.raise_error(F.lit("a row id is out of range"))).otherwise(F.col("value"))
+    return found.select("place", F.coalesce(checked, F.lit(zero)).alias("value"), F.col("value").isNotNull().cast("int").alias("valid"))
+
+
+def point(rows: DataFrame, row_id: int, *columns: str) -> DataFrame:
+    """The row of one id, or none; the id is a filter that reaches the scan."""
+    return rows.where(F.col("row_id") == row_id).select(*columns)
+
+
+def equals_many(table: DataFrame, queries: DataFrame) -> DataFrame:
+    """table (id, value), queries (query, id, value) to query, equal: whether the entry of an id has a value."""
+    known = table.select("id", F.col("value").alias("entry"))
+    return queries.join(known, "id", "left").select("query", F.coalesce(F.col("entry") == F.col("value"), F.lit(False)).alias("equal"))
+
+
 def members(probe: DataFrame, keys: DataFrame, key: str, absent: bool = False) -> DataFrame:
     """The probe rows whose key is in (or, with ``absent``, not in) a set."""
     return probe.join(keys.select(key), key, "left_anti" if absent else "left_semi")

@@ -50,6 +50,27 @@ def boolean_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("i", F.col("j").alias("k")).join(b.select(F.col("i").alias("k"), "j"), "k").select("i", "j").distinct()
 
 
+def get(a: DataFrame, i: int, j: int, b: int = 0) -> DataFrame:
+    """v: one cell, 0 where it is not stored."""
+    return a.where((F.col("b") == b) & (F.col("i") == i) & (F.col("j") == j)).agg(F.coalesce(F.max("v"), F.lit(0)).alias("v"))
+
+
+def with_cells(a: DataFrame, cells: DataFrame) -> DataFrame:
+    """The matrix with some cells set to new values; where a cell is set, its old value goes."""
+    both = a.select("b", "i", "j", "v", F.lit(0).alias("n")).unionByName(cells.select("b", "i", "j", "v", F.lit(1).alias("n")))
+    return both.groupBy("b", "i", "j").agg(F.max_by("v", "n").alias("v"))
+
+
+def filled(a: DataFrame, value: float) -> DataFrame:
+    """Every stored cell at one value."""
+    return a.withColumn("v", F.lit(value))
+
+
+def row_positions(a: DataFrame, i: int) -> DataFrame:
+    """j: the set cells of one row of a Boolean matrix."""
+    return a.where(F.col("i") == i).select("j").distinct()
+
+
 def row_ones(a: DataFrame) -> DataFrame:
     """i, ones: set cells of each row that has some."""
     return a.groupBy("i").agg(F.count(F.lit(1)).alias("ones"))

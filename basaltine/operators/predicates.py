@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from basaltine.schema import ColumnDef
 
 
-def _wide(value: int | str) -> Column:
+def _wide(value: int | str | Column) -> Column:
+    if isinstance(value, Column):
+        return value
     # literals outside a column's domain compare as they are, so they are never cast down to its type
     return F.lit(value).cast("bigint") if isinstance(value, int) else F.lit(value)
 
@@ -33,9 +35,9 @@ def lt(column: str, value: int | str) -> Column:
     return F.col(column) < _wide(value)
 
 
-def between(column: str, low: int | str, high: int | str) -> Column:
-    """low <= value < high; nothing where low >= high."""
-    if low >= high:
+def between(column: str, low: int | str | Column, high: int | str | Column) -> Column:
+    """low <= value < high; nothing where low >= high. Bounds of other types are literals of the column's own."""
+    if not isinstance(low, Column) and low >= high:
         return F.lit(False)
     return (F.col(column) >= _wide(low)) & (F.col(column) < _wide(high))
 

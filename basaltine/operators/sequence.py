@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basaltine.sources.scratch import saved
+
+
+#: Positions of a span: what one task compares or counts up in order.
+SPAN = 1 << 16
+
 
 def _answer(value: Column) -> Column:
     return F.coalesce(value, F.lit(-1)).cast("bigint")
@@ -42,6 +48,25 @@ def access_many(seq: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(seq, "pos", "left").select("query", "value")
 
 
+def rank_many(seq: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (query, value, end) to query, rank: how many of the first ``end`` values equal a value.
+
+    The occurrences of the values asked for, in spans of positions, are counted up; a query adds those of its own
+    span. No query meets more than the occurrences of its value in one span.
+    """
+    q = queries.select("query", F.col("value").alias("qv"), "end", F.floor(F.col("end") / SPAN).alias("qs"))
+    asked = queries.select("value").distinct()
+    hits = seq.join(asked, "value", "left_semi").select("value", "pos", F.floor(F.col("pos") / SPAN).alias("span"))
+    per = hits.groupBy("value", "span").agg(F.count(F.lit(1)).alias("n"), F.collect_list("pos").alias("at"))
+    order = Window.partitionBy("value").orderBy("span")
+    upto = per.select("value", "span", "at", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(order).alias("after"), F.lead("span").over(order).alias("next"))
+    # the last span with an occurrence up to the query's
+    on = (F.col("value") == F.col("qv")) & (F.col("span") <= F.col("qs")) & (F.col("next").isNull() | (F.col("next") > F.col("qs")))
+    inside = F.size(F.filter("at", lambda p: p < F.col("end")))
+    rank = F.when(F.col("span") == F.col("qs"), F.col("before") + inside).otherwise(F.col("after"))
+    return q.join(upto, on, "left").select("query", F.coalesce(rank, F.lit(0)).cast("bigint").alias("rank"))
+
+
 def range_frequency(seq: DataFrame, left: int, right: int, low: int, high: int) -> DataFrame:
     """How many values in [low, high) there are at positions [left, right); ValueError if low > high."""
     if low > high:
@@ -51,11 +76,33 @@ def range_frequency(seq: DataFrame, left: int, right: int, low: int, high: int)
 
 
 def quantile(seq: DataFrame, left: int, right: int, k: int) -> DataFrame:
-    """The k-th smallest (from 0) value at positions [left, right): counts per value first, not a sort of the rows."""
-    inside = seq.where((F.col("pos") >= left) & (F.col("pos") < right))
-    counts = inside.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
-    return upto.agg(_answer(F.min(F.when(F.col("upto") > k, F.col("value")))).alias("quantile"))
+    """The k-th smallest (from 0) value at positions [left, right), by the places of the counted values."""
+    inside = seq.where((F.col("pos") >= left) & (F.col("pos") < right)).select(F.lit(0).alias("query"), F.lit(k).alias("k"), "value")
+    return _kth(inside).agg(_answer(F.min("v")).alias("quantile"))
+
+
+def quantile_many(seq: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (query, left, right, k) to query, quantile: each meets the positions in the spans that it touches."""
+    touched = F.sequence(F.floor(F.col("left") / SPAN), F.floor((F.greatest(F.col("right") - 1, F.col("left"))) / SPAN))
+    asked = queries.select("*", F.explode(touched).alias("span"))
+    inside = asked.join(seq.withColumn("span", F.floor(F.col("pos") / SPAN)), "span").where((F.col("pos") >= F.col("left")) & (F.col("pos") < F.col("right")))
+    return queries.select("query").join(_kth(inside.select("query", "k", "value")), "query", "left").select("query", _answer(F.col("v")).alias("quantile"))
+
+
+def _kth(inside: DataFrame) -> DataFrame:
+    """(query, k, value) to query, v: the k-th smallest value of each query that has as many.
+
+    Values are counted per query, the counts range-partitioned by query and value, and summed up within partitions;
+    what the partitions before hold is added to each.
+    """
+    counts = inside.groupBy("query", "k", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = saved(counts.repartitionByRange("query", "value").select("*", F.spark_partition_id().alias("part")))
+    sums = parts.groupBy("query", "part").agg(F.sum("n").alias("m"))
+    earlier = F.sum("m").over(Window.partitionBy("query").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select("query", "part", F.coalesce(earlier, F.lit(0)).alias("before"), "m")
+    open_ = parts.join(before, ["query", "part"]).where((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("m")))
+    upto = open_.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("query", "part").orderBy("value")))
+    return upto.where(F.col("upto") > F.col("k")).groupBy("query").agg(F.min("value").alias("v"))
 
 
 def predecessor(seq: DataFrame, left: int, right: int, value: int) -> DataFrame:
@@ -86,24 +133,39 @@ def monotone_queries(seq: DataFrame, value: int) -> DataFrame:
     )
 
 
+def _steps(df: DataFrame, row_id: str, value: str, within: str | None, bad) -> DataFrame:
+    """One row, ``n``: neighbours (before, after) in the order of row ids of which ``bad`` holds.
+
+    They are compared within groups (spans of row ids if none are given), and then the groups' edges: a row per group.
+    """
+    group = F.floor(F.col(row_id) / SPAN) if within is None else F.col(within)
+    rows = df.select(group.alias("g"), F.col(row_id).alias("r"), F.col(value).alias("v"))
+    before = F.lag("v").over(Window.partitionBy("g").orderBy("r"))
+    groups = rows.select("g", "r", "v", bad(before, F.col("v")).alias("bad")).groupBy("g").agg(F.count_if("bad").alias("n"), F.min_by("v", "r").alias("first"), F.max_by("v", "r").alias("last"))
+    edge = bad(F.lag("last").over(Window.orderBy("g")), F.col("first"))
+    return groups.select("n", edge.alias("edge")).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.count_if("edge")).alias("n"))
+
+
 def inversions(df: DataFrame, row_id: str, value: str, within: str | None = None) -> DataFrame:
     """How many rows are smaller than the one before them, within groups and from the last row of one group to the
     first of the next."""
-    if within is None:
-        order = Window.orderBy(row_id)
-        return df.select((F.lag(value).over(order) > F.col(value)).alias("down")).agg(F.count_if("down").alias("inversions"))
-    order = Window.partitionBy(within).orderBy(row_id)
-    rows = df.select(within, row_id, value, (F.lag(value).over(order) > F.col(value)).alias("down"))
-    groups = rows.groupBy(within).agg(F.count_if("down").alias("n"), F.min_by(value, row_id).alias("first"), F.max_by(value, row_id).alias("last"))
-    edge = F.lag("last").over(Window.orderBy(within)) > F.col("first")  # a row per group
-    return groups.select("n", edge.alias("down")).agg((F.sum("n") + F.count_if("down")).alias("inversions"))
+    return _steps(df, row_id, value, within, lambda a, b: a > b).select(F.col("n").alias("inversions"))
 
 
 def is_monotone(df: DataFrame, row_id: str, value: str, strict: bool = False) -> DataFrame:
     """Whether a sequence never decreases (or, strictly, always increases)."""
-    before = F.lag(value).over(Window.orderBy(row_id))
-    bad = before >= F.col(value) if strict else before > F.col(value)
-    return df.select(bad.alias("bad")).agg((F.count_if("bad") == 0).alias("monotone"))
+    found = _steps(df, row_id, value, None, (lambda a, b: a >= b) if strict else (lambda a, b: a > b))
+    return found.select((F.col("n") == 0).alias("monotone"))
+
+
+def parents(shape: DataFrame) -> DataFrame:
+    """A tree in level order as bits (pos, value): each node is a 1 in its parent's list, which a 0 ends.
+
+    Returns node, parent, by the order of the ones: the parent of a node is the number of zeros before its one, less
+    one for the list of the root itself; the root's parent is -1.
+    """
+    ones = running_ranks(shape).where("value = 1").select(F.col("rank").alias("node"), (F.col("pos") - F.col("rank") - 1).cast("bigint").alias("parent"))
+    return ones
 
 
 def intersect_lists(a: DataFrame, b: DataFrame, cap: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basaltine.operators.order import numbered
+
 
 def _value(df: DataFrame) -> DataFrame:
     return df.toDF("value")
@@ -83,8 +85,15 @@ def ranges(a: DataFrame, span: int = 1 << 20) -> DataFrame:
 
 
 def dictionary(a: DataFrame) -> DataFrame:
-    """Each distinct value with a dense id in the order of the values (of a dictionary that fits one task)."""
-    return _value(a).distinct().select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint").alias("id"))
+    """Each distinct value with a dense id in the order of the values, null last."""
+    return numbered(_value(a).distinct(), "value", name="id")
+
+
+def frozen_dictionary(a: DataFrame) -> DataFrame:
+    """As ``dictionary``, of keys that must be distinct: a repeated key fails the query."""
+    once = _value(a).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    once = once.select(F.when(F.col("n") > 1, F.raise_error(F.lit("a key is repeated"))).otherwise(F.col("value")).alias("value"))
+    return numbered(once, "value", name="id")
 
 
 def encode(values: DataFrame, column: str, ids: DataFrame) -> DataFrame:

@@ -107,8 +107,23 @@ def merge_blooms(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("block").agg(*[F.bit_or(f"l{k}").alias(f"l{k}") for k in range(4)])
 
 
+#: Blocks of a filter that is broadcast: 36 bytes each. Beyond them the probe is shuffled to meet it.
+BROADCAST_BLOCKS = 1 << 21
+
+
+def prefiltered(probe: DataFrame, column: str, build: DataFrame, blocks: int = 1 << 16) -> DataFrame:
+    """The probe rows whose key may be among the build side's: for a join whose probe would else be shuffled whole."""
+    rows = may_contain(probe, column, bloom_filter(build, column, blocks), blocks)
+    return rows.where("maybe").drop("maybe")
+
+
 def may_contain(probe: DataFrame, column: str, bloom: DataFrame, blocks: int) -> DataFrame:
-    """Probe rows with ``maybe``: false only for keys that were never added."""
+    """Probe rows with ``maybe``: false only for keys that were never added.
+
+    A filter has a row a block at most, so its size is known by the number of blocks: small ones go to the rows.
+    """
+    if blocks <= BROADCAST_BLOCKS:
+        bloom = F.broadcast(bloom)
     h = mix32(F.col(column))
     rows = probe.withColumn("block", h % blocks).withColumn("__s", mix32(h.bitwiseXOR(F.lit(MASK))))
     hits = [F.expr(f"shiftright(l{k}, cast(shiftright(__s, {8 * k}) & 31 as int)) & 1") == 1 for k in range(4)]

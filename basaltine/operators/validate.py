@@ -72,6 +72,13 @@ class Rule:
     options: tuple[Rule, ...] = ()
 
 
+#: The keywords that a type understands.
+WORDS = {
+    "number": ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"), "integer": ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"),
+    "string": ("minLength", "maxLength"), "array": ("minItems", "maxItems", "items"), "object": ("properties", "required", "additionalProperties"),
+}
+
+
 def rule_of(schema: dict) -> Rule:
     """A rule from a subset of JSON Schema; UnsupportedSchema for any other keyword."""
     known = {"type", "const", "enum", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "minItems", "maxItems", "items", "properties", "required", "anyOf", "additionalProperties"}
@@ -86,8 +93,14 @@ def rule_of(schema: dict) -> Rule:
     if "enum" in schema:
         return Rule("literal", values=tuple(schema["enum"]))
     kind = schema.get("type", "any")
+    if schema.get("additionalProperties", True) is not True:
+        # a parsed row has lost its unknown fields
+        raise UnsupportedSchema("additionalProperties can only be true")
     if isinstance(kind, list):
-        return Rule("union", options=tuple(rule_of(schema | {"type": k}) for k in kind))
+        return Rule("union", options=tuple(rule_of({w: v for w, v in schema.items() if w in ("type", *WORDS.get(k, ()))} | {"type": k}) for k in kind))
+    stray = set(schema) - {"type", "additionalProperties"} - set(WORDS.get(kind, ()))
+    if stray:
+        raise UnsupportedSchema(f"{sorted(stray)} say nothing of {kind}")
     if kind in ("number", "integer"):
         return Rule(kind, schema.get("exclusiveMinimum", schema.get("minimum")), schema.get("exclusiveMaximum", schema.get("maximum")), "exclusiveMinimum" in schema, "exclusiveMaximum" in schema)
     if kind == "string":
@@ -156,6 +169,43 @@ def first_issue(row: dict[str, Rule]) -> Column:
     return F.coalesce(*[F.when(~satisfies(F.col(n), r), F.lit(n)) for n, r in row.items()], F.lit(None).cast("string"))
 
 
+def nullable(rule: Rule) -> Rule:
+    """A rule that null satisfies too."""
+    return Rule("union", options=(Rule("null"), rule))
+
+
+def issues(value: Column, rule: Rule, path: str = "") -> Column:
+    """array<struct<code, path, expected>>: what of a value breaks a rule, down to its fields and elements.
+
+    Codes are ``type`` (null or another kind), ``range``, ``length``, ``literal`` and ``union``; a path is like
+    ``a.b[2]``. Fields come in the order of the rule.
+    """
+    here = F.lit(path) if isinstance(path, str) else path
+
+    def issue(code: str, expected: str) -> Column:
+        return F.array(F.struct(F.lit(code).alias("code"), here.alias("path"), F.lit(expected).alias("expected")))
+
+    none = F.filter(issue("", ""), lambda x: F.lit(False))
+    if rule.kind == "object":
+        found = none
+        for name, r in rule.fields.items():
+            at = F.concat(here, F.when(here == "", F.lit("")).otherwise(F.lit(".")), F.lit(name))
+            inner = issues(value[name], r, at)
+            found = F.concat(found, F.when(value[name].isNull(), none).otherwise(inner) if name in rule.optional else inner)
+        return F.when(value.isNull(), issue("type", "object")).otherwise(found)
+    if rule.kind == "array":
+        length = F.when(satisfies(value, Rule("array", rule.low, rule.high)), none).otherwise(issue("length", f"{rule.low} to {rule.high}"))
+        inner = none
+        if rule.items is not None:
+            inner = F.flatten(F.transform(value, lambda x, i: issues(x, rule.items, F.concat(here, F.lit("["), i.cast("string"), F.lit("]")))))
+        return F.when(value.isNull(), issue("type", "array")).otherwise(F.concat(length, inner))
+    code, expected = {"number": ("range", f"{rule.low} to {rule.high}"), "integer": ("range", f"whole, {rule.low} to {rule.high}"), "string": ("length", f"{rule.low} to {rule.high}"), "literal": ("literal", ", ".join(map(str, rule.values))), "union": ("union", "one of several")}.get(rule.kind, ("type", rule.kind))
+    broken = issue(code, expected)
+    if rule.kind in ("number", "integer", "string", "boolean"):
+        broken = F.when(value.isNull(), issue("type", rule.kind)).otherwise(broken)
+    return F.when(satisfies(value, rule), none).otherwise(broken)
+
+
 def check_json(df: DataFrame, column: str, ddl: str, rule: Rule) -> DataFrame:
     """``df`` with ``valid``: whether JSON text parses into a type and satisfies a rule."""
     parsed = F.from_json(F.col(column), ddl, {"mode": "PERMISSIVE"})

@@ -129,6 +129,16 @@ def rerank(df: DataFrame, vector: str, row_id: str, query: Sequence[float], k: i
     return nearest(rows.withColumn("place", place).where(F.col("place") <= candidates), vector, row_id, query, k)
 
 
+def hybrid_rerank(df: DataFrame, predicate: Column, vector: str, row_id: str, query: Sequence[float], k: int, candidates: int, shards: int = 1) -> DataFrame:
+    """Filter, then a shortlist by signature per shard, then exact distances: ``rerank`` of the rows that a predicate selects."""
+    return rerank(df.where(predicate), vector, row_id, query, k, candidates, shards)
+
+
+def distance_selected(df: DataFrame, predicate: Column, vector: str, row_id: str, query: Sequence[float], kind: str = "l2") -> DataFrame:
+    """row_id, score of the rows that a predicate selects, and of no other."""
+    return scores(df.where(predicate).select(row_id, vector), vector, query, kind).select(row_id, "score")
+
+
 def hybrid(df: DataFrame, predicate: Column, vector: str, row_id: str, query: Sequence[float], k: int, kind: str = "l2") -> DataFrame:
     """The k best among the rows that a predicate selects: the filter reaches the scan, only they are scored."""
     return nearest(df.where(predicate), vector, row_id, query, k, kind)
@@ -140,25 +150,52 @@ def check_range(low: int, high: int) -> None:
         raise ValueError("the range of a hybrid search is empty")
 
 
-def block_bounds(df: DataFrame, vector: str, row_id: str, rows: int = 64) -> DataFrame:
-    """block, low, high: the smallest and largest value of each dimension in blocks of row ids."""
-    each = df.select(F.floor(F.col(row_id) / rows).alias("block"), F.posexplode(vector).alias("d", "x"))
-    per = each.groupBy("block", "d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    ordered = per.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("d", "lo", "hi"))).alias("b"))
-    return ordered.select("block", F.transform("b", lambda s: s["lo"]).alias("low"), F.transform("b", lambda s: s["hi"]).alias("high"))
+def block_bounds(df: DataFrame, vector: str, row_id: str, rows: int = 64, dimensions: int | None = None) -> DataFrame:
+    """block, low, high: the smallest and largest value of each dimension in blocks of row ids.
+
+    One aggregation with a combine on the map side; it is meant to be written beside the vectors and used many times.
+    ``dimensions`` is read from the first row where it is not given.
+    """
+    if dimensions is None:
+        first = df.select(F.size(vector).alias("n")).first()
+        dimensions = first["n"] if first else 0
+    each = [f(F.get(F.col(vector), F.lit(d))).alias(f"{n}{d}") for d in range(dimensions) for n, f in (("lo", F.min), ("hi", F.max))]
+    per = df.groupBy(F.floor(F.col(row_id) / rows).alias("block")).agg(F.count(F.lit(1)).alias("n"), *each)
+    return per.select("block", F.array(*[F.col(f"lo{d}") for d in range(dimensions)]).alias("low"), F.array(*[F.col(f"hi{d}") for d in range(dimensions)]).alias("high"))
+
+
+#: Blocks up to which a scan names their row ids, so that the files are pruned; more are joined.
+NAMED = 256
+
+
+def _in_blocks(df: DataFrame, row_id: str, blocks: list[int], rows: int) -> DataFrame:
+    """The rows of some blocks, by ranges of row ids that reach the scan."""
+    ranges: list[list[int]] = []
+    for b in sorted(blocks):
+        if ranges and ranges[-1][1] == b:
+            ranges[-1][1] = b + 1
+        else:
+            ranges.append([b, b + 1])
+    condition = F.lit(False)
+    for a, b in ranges:
+        condition = condition | ((F.col(row_id) >= a * rows) & (F.col(row_id) < b * rows))
+    return df.where(condition)
 
 
 def pruned_nearest(df: DataFrame, bounds: DataFrame, vector: str, row_id: str, query: Sequence[float], k: int, rows: int = 64) -> DataFrame:
-    """The k nearest, exactly, scoring only blocks whose bound is not beyond a k-th distance already found.
+    """The k nearest, exactly, reading only blocks whose bound is not beyond a k-th distance already found.
 
     The k blocks with the smallest bounds give the limit; blocks beyond it cannot hold a nearer row.
     """
     q = _constant(query)
     gap = F.zip_with(F.zip_with("low", q, lambda lo, x: F.greatest(lo.cast("double") - x, F.lit(0.0))), F.zip_with("high", q, lambda hi, x: F.greatest(x - hi.cast("double"), F.lit(0.0))), lambda a, b: F.greatest(a, b))
     bounded = bounds.select("block", _sum(F.transform(gap, lambda g: g * g)).alias("bound"))
-    placed = df.select(row_id, vector, F.floor(F.col(row_id) / rows).alias("block"))
-    first = placed.join(bounded.orderBy("bound", "block").limit(k), "block", "left_semi")
-    limit = nearest(first, vector, row_id, query, k).agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("limit"))
-    # one row
-    open_blocks = bounded.join(F.broadcast(limit), F.col("limit").isNull() | (F.col("bound") <= F.col("limit")), "left_semi")
-    return nearest(placed.join(open_blocks, "block", "left_semi"), vector, row_id, query, k)
+    placed = df.select(row_id, vector)
+    first = [r["block"] for r in bounded.orderBy("bound", "block").limit(min(k, NAMED)).collect()]
+    found = nearest(_in_blocks(placed, row_id, first, rows), vector, row_id, query, k).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("limit")).first()
+    open_ = bounded if found["n"] < k else bounded.where(F.col("bound") <= found["limit"])
+    few = [r["block"] for r in open_.select("block").limit(NAMED + 1).collect()]
+    if len(few) <= NAMED:
+        return nearest(_in_blocks(placed, row_id, few, rows), vector, row_id, query, k)
+    kept = placed.withColumn("block", F.floor(F.col(row_id) / rows)).join(open_, "block", "left_semi")
+    return nearest(kept, vector, row_id, query, k)

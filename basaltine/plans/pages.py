@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +26,3 @@ def estimate(pages: DataFrame, low: int, high: int) -> DataFrame:
     """pages_scanned, pages_skipped and rows_scanned of a half-open range."""
     hit = F.coalesce(_meets(low, high), F.lit(False))
     return pages.agg(F.count_if(hit).alias("pages_scanned"), F.count_if(~hit).alias("pages_skipped"), F.coalesce(F.sum(F.when(hit, F.col("row_count"))), F.lit(0).cast("bigint")).alias("rows_scanned"))
-
-
-@dataclass(frozen=True)
-class Costs:
-    """Seconds of a page, of a row by encoding, of sending work out, and how well workers share it."""
-
-    page: float
-    rows: dict[str, float]
-    dispatch: float
-    efficiency: float = 0.8
-
-
-def choose(scanned: dict[str, tuple[int, int]], workers: int, costs: Costs) -> str:
-    """direct or workers, for pages and rows scanned of each encoding."""
-    direct = sum(p * costs.page + r * costs.rows[e] for e, (p, r) in scanned.items())
-    return "workers" if workers > 1 and costs.dispatch + direct / (workers * costs.efficiency) < direct else "direct"

@@ -85,7 +85,10 @@ class Query:
         return self.store.zone_map(self.name).where(all_of(*tests))
 
     def _matching(self) -> DataFrame:
-        rows = self.rows if self.store is None else self.store._rows(self.name, self._surviving())
+        rows = self.rows
+        if self.store is not None:
+            held = self.store.is_cached(self.name) or not self.predicates
+            rows = self.store.table(self.name) if held else self.store._rows(self.name, self._surviving())
         for p in self.predicates:  # plain filters, which reach the scan; null fails them as it fails a mask
             rows = rows.where(p.test())
         return rows
@@ -99,11 +102,22 @@ class Query:
         return self._matching().agg(F.count(F.lit(1)).alias("count"))
 
     def statistics(self) -> dict[str, int]:
-        """groups_total, groups_skipped and pages_read (a page per surviving group and column that is needed)."""
+        """What the query reads, from the zone map, and what it finds.
+
+        groups_total and groups_skipped; pages_read, a page per surviving group and needed column; rows_scanned, the
+        rows of the surviving groups, and rows_matched; cache_hits, the pages that are held in memory.
+        """
         total = self.store.manifest(self.name)["groups"]
-        left = self._surviving().count()
+        left, scanned = self._surviving().agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
         needed = {p.column for p in self.predicates} | set(self.selected or self.table.columns)
-        return {"groups_total": total, "groups_skipped": total - left, "pages_read": left * len(needed & set(self.store.manifest(self.name)["columns"]))}
+        pages = left * len(needed & set(self.store.manifest(self.name)["columns"]))
+        held = pages if self.store.is_cached(self.name) else 0
+        return {"groups_total": total, "groups_skipped": total - left, "pages_read": pages, "rows_scanned": scanned, "rows_matched": self.count().first()["count"], "cache_hits": held}
+
+    def mask(self) -> DataFrame:
+        """row_id, selected: the predicates as a published mask, for all rows; later queries join it by row id."""
+        rows = self.rows if self.store is None else self.store.table(self.name)
+        return rows.select("row_id", all_of(*[p.test() for p in self.predicates]).alias("selected"))
 
 
 def query(store: Store, name: str) -> Query:

@@ -6,6 +6,7 @@ Amounts are cents and days are numbers since 1970-01-01, so that sums are exact
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 from basaltine.functions import bits, fused, text
 from basaltine.operators import aggregate, graph, join, matrix, order, predicates, sequence, sets, sketch, validate, vector
 from basaltine.plans import pages
+from basaltine.plans.query import query as stored_query
 from basaltine.plans.query import query_rows
 from basaltine.schema import TableDef, i32, string, u8, u32
+from basaltine.sources.scratch import new_folder
+from basaltine.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,20 +60,22 @@ ROW = "l_orderkey * 8 + l_linenumber"
 
 @query("SELECT count(*) AS count, coalesce(sum(l_quantity::INT), 0)::BIGINT AS sum FROM lineitem WHERE l_quantity::INT >= 10 AND l_quantity::INT < 20")
 def range_aggregate(spark, sf):
-    return aggregate.range_aggregate(_table(spark, sf, "lineitem").select(F.col("l_quantity").cast("int").alias("q")), "q", 10, 20)
+    return aggregate.range_aggregate(_table(spark, sf, "lineitem"), "l_quantity", 10, 20)
 
 
 @query("SELECT 0::BIGINT AS count, 0::BIGINT AS sum")
 def range_aggregate_empty(spark, sf):
-    return aggregate.range_aggregate(_table(spark, sf, "lineitem").select(F.col("l_quantity").cast("int").alias("q")), "q", 20, 20)
+    return aggregate.range_aggregate(_table(spark, sf, "lineitem"), "l_quantity", 20, 20)
 
 
 @query(f"""SELECT (ascii(l_returnflag) - 65)::INT AS grp, count(*) AS count, sum(round(l_extendedprice * 100))::BIGINT AS sum,
  min(round(l_extendedprice * 100))::BIGINT AS min, max(round(l_extendedprice * 100))::BIGINT AS max
  FROM lineitem WHERE {DAY.format("l_shipdate")} >= 9000 AND {DAY.format("l_shipdate")} < 10200 GROUP BY 1""")
 def group_dense(spark, sf):
-    rows = _table(spark, sf, "lineitem").select(_day("l_shipdate").alias("day"), _cents("l_extendedprice").alias("v"), (F.ascii("l_returnflag") - 65).alias("grp"))
-    return aggregate.group_dense(rows, "day", "v", "grp", 9000, 10200, 32)
+    rows = _table(spark, sf, "lineitem").select("l_shipdate", _cents("l_extendedprice").alias("v"), (F.ascii("l_returnflag") - 65).alias("grp"))
+    # days as values of the stored column's own type, so that the range reaches the scan
+    low, high = (F.lit(str(date(1970, 1, 1) + timedelta(d))).cast(rows.schema["l_shipdate"].dataType) for d in (9000, 10200))
+    return aggregate.group_dense(rows, "l_shipdate", "v", "grp", low, high, 32)
 
 
 @query("""SELECT user_id, count(v) AS count, count(*) - count(v) AS null_count, coalesce(sum(v), 0)::BIGINT AS sum, min(v) AS min, max(v) AS max,
@@ -119,10 +125,17 @@ def reduce_shards(spark, sf):
     return aggregate.reduce_words(_table(spark, sf, "lineitem"), "l_suppkey", "l_partkey")
 
 
-@query("SELECT true AS equal")
+@query("SELECT 'equal' AS against, true AS equal UNION ALL SELECT 'one value', false UNION ALL SELECT 'one row', false")
 def columns_equal(spark, sf):
-    rows = _table(spark, sf, "orders")
-    return aggregate.same_values(rows, rows.orderBy(F.desc("o_orderkey")), "o_orderkey", "o_custkey")
+    rows = _table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    other = {"equal": rows.orderBy(F.desc("o_orderkey")), "one value": rows.withColumn("o_custkey", F.when(F.col("o_orderkey") != 17, F.col("o_custkey"))), "one row": rows.where("o_orderkey <> 17")}
+    found = [aggregate.same_values(rows, b, "o_orderkey", "o_custkey").select(F.lit(name).alias("against"), "equal") for name, b in other.items()]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+@query("SELECT sum(o_custkey)::BIGINT AS sum, min(o_custkey) AS min, max(o_custkey) AS max FROM orders")
+def column_extremes(spark, sf):
+    return aggregate.extremes(_table(spark, sf, "orders"), "o_custkey")
 
 
 @query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
@@ -146,8 +159,26 @@ ORDERS_SQL = """(SELECT o_orderkey AS row_id, o_orderkey, CASE WHEN o_orderkey %
  CASE WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS o_orderstatus, round(o_totalprice * 100)::INT AS cents FROM orders)"""
 
 
-@query(f"SELECT row_id, o_custkey, cents FROM {ORDERS_SQL} WHERE cents >= 5000000 AND cents < 20000000 AND priority = 2")
+STORED = TableDef({"o_orderkey": u32(), "o_custkey": u32(), "o_orderstatus": string(), "o_orderpriority": string()})
+
+
+def _stored_orders(spark, sf) -> DataFrame:
+    return _table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT o_orderkey AS row_id, o_custkey, o_orderpriority FROM orders WHERE o_custkey >= 40 AND o_custkey < 700 AND o_orderpriority = '2-HIGH' AND o_orderstatus >= 'G' AND o_orderstatus < 'P'")
 def builder_between_eq(spark, sf):
+    q = query_rows(STORED, _stored_orders(spark, sf)).where("o_custkey", "between", 40, 700).where("o_orderpriority", "eq", "2-HIGH").where("o_orderstatus", "between", "G", "P")
+    return q.select("o_custkey", "o_orderpriority").execute()
+
+
+@query("SELECT o_orderkey AS row_id, coalesce(o_custkey < 300 AND o_orderstatus = 'O', false) AS selected FROM orders")
+def mask_published(spark, sf):
+    return query_rows(STORED, _stored_orders(spark, sf)).where("o_custkey", "lt", 300).where("o_orderstatus", "eq", "O").mask()
+
+
+@query(f"SELECT row_id, o_custkey, cents FROM {ORDERS_SQL} WHERE cents >= 5000000 AND cents < 20000000 AND priority = 2")
+def builder_computed_columns(spark, sf):
     return query_rows(ORDERS, _orders(spark, sf)).where("cents", "between", 5_000_000, 20_000_000).where("priority", "eq", 2).select("o_custkey", "cents").execute()
 
 
@@ -266,9 +297,44 @@ def join_interval(spark, sf):
     return join.interval_join(rows, spans, "event_id", "a", "b", 64).select("event_id", "span")
 
 
+@query(ORACLES["join_rowid_pairs"])
+def join_prefiltered(spark, sf):
+    """The same pairs, the probe side thinned by a Bloom filter of the build side's keys first."""
+    build = _table(spark, sf, "orders").where("o_totalprice > 150000").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("id"))
+    probe = _table(spark, sf, "lineitem")
+    return join.row_id_pairs(sketch.prefiltered(probe.select(F.col("l_orderkey").alias("k"), _row(probe).alias("pid")), "k", build), build, "k", "pid", "id")
+
+
+SPARSE = "(SELECT event_id AS row_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS v FROM events)"
+
+
+@query(f"SELECT event_id AS place, coalesce(v, 0) AS value, (v IS NOT NULL)::INT AS valid FROM events JOIN {SPARSE} ON row_id = event_id - event_id % 10")
+def gather_values(spark, sf):
+    events = _table(spark, sf, "events")
+    rows = events.select(F.col("event_id").alias("row_id"), F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("v"))
+    return join.gather(rows, events.select(F.col("event_id").alias("place"), (F.col("event_id") - F.col("event_id") % 10).alias("row_id")), "v")
+
+
+@query("SELECT user_id, event_type FROM events WHERE event_id = 77")
+def point_get(spark, sf):
+    return join.point(_table(spark, sf, "events").withColumnRenamed("event_id", "row_id"), 77, "user_id", "event_type")
+
+
+@query("SELECT p_partkey AS query, p_brand = 'Brand#' || (p_partkey % 50)::VARCHAR AS equal FROM part")
+def table_equals_many(spark, sf):
+    part = _table(spark, sf, "part")
+    asked = part.select(F.col("p_partkey").alias("query"), F.col("p_partkey").alias("id"), F.concat(F.lit("Brand#"), (F.col("p_partkey") % 50).cast("string")).alias("value"))
+    return join.equals_many(part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("value")), asked)
+
+
 # orders and top-k
 
 
+@query("SELECT o_custkey, row_id, position FROM (SELECT o_custkey, o_orderkey AS row_id, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS position FROM orders) WHERE position >= 100")
+def order_remaining(spark, sf):
+    return order.in_priority(_table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("row_id")), "o_custkey", "row_id", 100)
+
+
 @query("SELECT o_custkey, o_orderkey AS row_id, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS position FROM orders")
 def order_stable(spark, sf):
     return order.order_positions(_table(spark, sf, "orders"), "o_custkey", "o_orderkey")
@@ -292,7 +358,7 @@ def _parts(spark, sf, condition: str) -> DataFrame:
     return _table(spark, sf, "lineitem").where(condition).select("l_partkey")
 
 
-A, B = "l_quantity < 20", "l_quantity >= 15 AND l_suppkey % 2 = 0"
+A, B = "l_quantity < 2 AND l_partkey % 3 <> 0", "l_quantity >= 49 AND l_partkey % 5 <> 0"
 
 
 @query(f"SELECT l_partkey AS value FROM lineitem WHERE {A} UNION SELECT l_partkey FROM lineitem WHERE {B}")
@@ -332,17 +398,17 @@ def set_pair_intersections(spark, sf):
     return sets.pair_intersections(every, pairs)
 
 
-@query("SELECT min(v) AS first, max(v) AS last FROM (SELECT v, v - row_number() OVER (ORDER BY v) AS g FROM (SELECT DISTINCT l_partkey AS v FROM lineitem WHERE l_quantity < 20)) GROUP BY g")
+@query(f"SELECT min(v) AS first, max(v) AS last FROM (SELECT v, v - row_number() OVER (ORDER BY v) AS g FROM (SELECT DISTINCT l_partkey AS v FROM lineitem WHERE {A})) GROUP BY g")
 def set_ranges(spark, sf):
     return sets.ranges(_parts(spark, sf, A), span=256)
 
 
-@query("SELECT floor(v / 32)::BIGINT AS word, bit_or((1::BIGINT << (v % 32)::INT)) AS bits FROM (SELECT DISTINCT l_partkey AS v FROM lineitem WHERE l_quantity < 20) GROUP BY 1")
+@query(f"SELECT floor(v / 32)::BIGINT AS word, bit_or((1::BIGINT << (v % 32)::INT)) AS bits FROM (SELECT DISTINCT l_partkey AS v FROM lineitem WHERE {A}) GROUP BY 1")
 def set_words(spark, sf):
     return sets.words(_parts(spark, sf, A))
 
 
-@query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_quantity < 20")
+@query(f"SELECT count(DISTINCT l_partkey) AS n FROM lineitem WHERE {A}")
 def set_bitmap_count(spark, sf):
     return sets.bitmaps(_parts(spark, sf, A)).agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0).cast("bigint")).alias("n"))
 
@@ -353,7 +419,7 @@ def dictionary_encode(spark, sf):
     return sets.encode(part.select("p_partkey", "p_brand"), "p_brand", sets.dictionary(part.where("p_size < 10").select("p_brand"))).select("p_partkey", "id")
 
 
-@query("SELECT l_partkey AS v, true AS maybe FROM lineitem WHERE l_quantity < 20")
+@query(f"SELECT l_partkey AS v, true AS maybe FROM lineitem WHERE {A}")
 def bloom_no_false_negatives(spark, sf):
     keys = _parts(spark, sf, A).toDF("v")
     return sketch.may_contain(keys, "v", sketch.bloom_filter(keys, "v", 1024), 1024)
@@ -379,10 +445,12 @@ def approx_distinct_merged(spark, sf):
     return sketch.merge_states(halves[0].unionAll(halves[1]))
 
 
-@query()
+@query("SELECT count(DISTINCT l_partkey) AS n, true AS within FROM lineitem")
 def approx_distinct(spark, sf):
-    states = sketch.distinct_state(sketch.distinct_ranks(_table(spark, sf, "lineitem"), "l_partkey", 12))
-    return spark.createDataFrame([(sketch.estimate(states, 12),)], "estimate double")
+    """The exact count, and whether the estimate is within 3 % of it."""
+    rows = _table(spark, sf, "lineitem")
+    found = sketch.estimate(sketch.distinct_state(sketch.distinct_ranks(rows, "l_partkey", 12)), 12)
+    return rows.agg(F.countDistinct("l_partkey").alias("n")).select("n", (F.abs(F.lit(found) / F.col("n") - 1) < 0.03).alias("within"))
 
 
 # sequences: the events' users in order of event
@@ -460,9 +528,58 @@ def seq_intersect_lists(spark, sf):
     return sequence.intersect_lists(a, b, 25)
 
 
+@query("SELECT event_id AS query, rank FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rank FROM events) WHERE event_id % 100 = 0")
+def seq_rank_many(spark, sf):
+    rows = _sequence(spark, sf)
+    return sequence.rank_many(rows, rows.where("pos % 100 = 0").select(F.col("pos").alias("query"), "value", F.col("pos").alias("end")))
+
+
+@query("SELECT query, user_id AS quantile FROM (SELECT event_id // 1000 AS query, user_id, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY user_id) AS n FROM events) WHERE n = 501")
+def seq_quantile_many(spark, sf):
+    rows = _sequence(spark, sf)
+    spans = rows.where("pos % 1000 = 0")
+    return sequence.quantile_many(rows, spans.select(F.expr("pos div 1000").alias("query"), F.col("pos").alias("left"), (F.col("pos") + 1000).alias("right"), F.lit(500).alias("k")))
+
+
+@query("SELECT count(*) FILTER (p > user_id) = 0 AS monotone FROM (SELECT user_id, lag(user_id) OVER (ORDER BY event_id) AS p FROM events)")
+def seq_is_monotone(spark, sf):
+    return sequence.is_monotone(_sequence(spark, sf), "pos", "value")
+
+
+#: A tree whose nodes have two children each while there are customers left, as bits in level order.
+TREE = "SELECT c_custkey AS node, CASE WHEN c_custkey = 0 THEN -1 ELSE (c_custkey - 1) // 2 END AS parent FROM customer"
+
+
+@query(TREE)
+def seq_tree_parents(spark, sf):
+    """Node k (its number from 0) has the children 2k + 1 and 2k + 2; a list is a 1 per child and a 0."""
+    nodes = _table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    n = nodes.count()
+    # one root above all: its list is 1, 0; list k ends at place 1 + k + 1 + the children of nodes up to k
+    ends = nodes.select(F.lit(0).alias("value"), (F.col("k") + 2 + F.least(2 * F.col("k") + 2, F.lit(n - 1))).alias("pos"))
+    ones = nodes.where("k > 0").select(F.lit(1).alias("value"), (F.col("k") + 1 + F.floor((F.col("k") - 1) / 2)).alias("pos"))
+    root = spark.range(2).select((1 - F.col("id")).cast("int").alias("value"), F.col("id").alias("pos"))
+    return sequence.parents(root.unionByName(ends).unionByName(ones))
+
+
 # bytes and texts
 
 
+@query(r"""SELECT doc_id, CASE WHEN contains(text, 'the') THEN strlen(split_part(text, 'the', 1)) ELSE -1 END AS first,
+ CASE WHEN contains(text, 'the') THEN strlen(text) - strlen(split_part(reverse(text), 'eht', 1)) - 3 ELSE -1 END AS last,
+ CASE WHEN contains(text, 'the') THEN length(split_part(text, 'the', 1)) + length(regexp_replace(split_part(text, 'the', 1), '[^\x{10000}-\x{10FFFF}]', '', 'g')) ELSE -1 END AS units FROM documents""")
+def bytes_index_of(spark, sf):
+    data = F.col("text").cast("binary")
+    found = text.index_of_bytes(data, b"the"), text.last_index_of_bytes(data, b"the"), text.index_of_utf16(F.col("text"), "the")
+    return _table(spark, sf, "documents").select("doc_id", *[c.cast("bigint").alias(n) for c, n in zip(found, ("first", "last", "units"), strict=True)])
+
+
+@query("SELECT query, sum((length(text) - length(replace(text, p, ''))) // length(p))::BIGINT AS count FROM documents, (VALUES (1, 'the'), (2, 'on'), (3, 'e'), (4, 'z.')) v(query, p) GROUP BY query")
+def text_count_many(spark, sf):
+    patterns = spark.createDataFrame([(1, "the"), (2, "on"), (3, "e"), (4, "z.")], "query int, pattern string")
+    return text.count_many(_table(spark, sf, "documents"), "text", patterns)
+
+
 @query("SELECT doc_id, instr(text, 'the') - 1 AS at, CASE WHEN contains(text, 'e') THEN length(text) - instr(reverse(text), 'e') ELSE -1 END AS last FROM documents")
 def text_index_of(spark, sf):
     t = F.col("text")
@@ -558,6 +675,18 @@ def topk_rerank(spark, sf):
     return vector.rerank(_embeddings(spark, sf), "embedding", "vec_id", QUERY, 10, 40, shards=4).select("vec_id")
 
 
+@query(f"""WITH h AS (SELECT vec_id, e, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY len(list_filter(list_zip(e, {Q}), lambda p: (p[1] > 0) <> (p[2] > 0))), vec_id) AS n FROM {VECTORS} WHERE label >= 2 AND label < 5)
+ SELECT vec_id FROM h WHERE n <= 20 ORDER BY list_sum(list_transform(list_zip(e, {Q}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), vec_id LIMIT 10""")
+def hybrid_rerank(spark, sf):
+    return vector.hybrid_rerank(_embeddings(spark, sf), predicates.between("label", 2, 5), "embedding", "vec_id", QUERY, 10, 20, shards=4).select("vec_id")
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(list_zip(e, {Q}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS score FROM {VECTORS} WHERE label = 3")
+def distance_selected(spark, sf):
+    found = vector.distance_selected(_embeddings(spark, sf), predicates.eq("label", 3), "embedding", "vec_id", QUERY)
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
 @query(ORACLES["topk_l2"])
 def topk_block_pruned(spark, sf):
     rows = _embeddings(spark, sf)
@@ -618,6 +747,111 @@ def validate_rows(spark, sf):
     return _table(spark, sf, "part").select("p_partkey", validate.first_issue(rules).alias("issue"))
 
 
+@query("""SELECT p_partkey, 'range' AS code, 'size' AS path FROM part WHERE NOT (p_size >= 5 AND p_size < 45)
+ UNION ALL SELECT p_partkey, 'type', 'about.brand' FROM part WHERE p_partkey % 9 = 0
+ UNION ALL SELECT p_partkey, 'length', 'about.brand' FROM part WHERE p_partkey % 9 <> 0 AND length(p_brand) > 7
+ UNION ALL SELECT p_partkey, 'length', 'about.words[' || (i - 1)::VARCHAR || ']' FROM part, unnest(range(1, len(string_split(p_name, ' ')) + 1)) u(i) WHERE length(string_split(p_name, ' ')[i]) > 4""")
+def validate_issues(spark, sf):
+    rule = validate.rule_of({"type": "object", "required": ["size", "about"], "properties": {
+        "size": {"type": "integer", "minimum": 5, "exclusiveMaximum": 45},
+        "about": {"type": "object", "required": ["brand", "words"], "properties": {"brand": {"type": "string", "maxLength": 7}, "words": {"type": "array", "items": {"type": "string", "maxLength": 4}}}},
+    }})
+    about = F.struct(F.when(F.col("p_partkey") % 9 != 0, F.col("p_brand")).alias("brand"), F.split("p_name", " ").alias("words"))
+    rows = _table(spark, sf, "part").select("p_partkey", F.struct(F.col("p_size").alias("size"), about.alias("about")).alias("row"))
+    return rows.select("p_partkey", F.explode(validate.issues(F.col("row"), rule)).alias("x")).select("p_partkey", "x.code", "x.path")
+
+
+@query("SELECT p_partkey, p_size < 30 AND p_partkey % 5 <> 0 AS valid FROM part")
+def validate_json(spark, sf):
+    """Rows as JSON texts, every fifth cut short."""
+    part = _table(spark, sf, "part")
+    full = F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand")))
+    texts = part.select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, full).otherwise(F.substring(full, F.lit(1), F.length(full) - 3)).alias("t"))
+    rule = validate.rule_of({"type": "object", "properties": {"size": {"type": "integer", "exclusiveMaximum": 30}, "brand": {"type": "string"}}, "required": ["size", "brand"]})
+    return validate.check_json(texts, "t", "size double, brand string", rule).select("p_partkey", "valid")
+
+
+@query("SELECT 'f32' AS kind, count(*) FILTER (p_retailprice < 950.1 OR p_retailprice > 1400.3) AS invalid_count FROM part UNION ALL SELECT 'u8', count(*) FILTER (p_size < 3 OR p_size > 40) FROM part")
+def validate_kinds(spark, sf):
+    part = _table(spark, sf, "part")
+    f32 = validate.check_column(part, "p_retailprice", "p_partkey", "f32", 950.1, 1400.3).select(F.lit("f32").alias("kind"), "invalid_count")
+    return f32.unionAll(validate.check_column(part, "p_size", "p_partkey", "u8", 2.5, 40.5).select(F.lit("u8").alias("kind"), "invalid_count"))
+
+
+# stored tables
+
+KEPT = {"orders": TableDef({"o_orderkey": u32(), "o_custkey": u32(), "cents": i32(), "status": string(nullable=True)}, 4096)}
+KEPT_SQL = "(SELECT o_orderkey AS row_id, o_orderkey, o_custkey, round(o_totalprice * 100)::INT AS cents, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS status FROM orders)"
+
+
+def _kept_orders(spark, sf) -> DataFrame:
+    status = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderstatus"))
+    return _table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderkey", "o_custkey", _cents("o_totalprice").cast("int").alias("cents"), status.alias("status"))
+
+
+def _store(spark, sf) -> Store:
+    """The orders in a store of their own."""
+    store = Store(spark, new_folder(spark, "store"), KEPT)
+    store.replace("orders", _kept_orders(spark, sf))
+    return store
+
+
+def _changed(spark, sf) -> DataFrame:
+    """New values of the first row group."""
+    return _kept_orders(spark, sf).where("row_id < 4096").select("row_id", (-F.col("o_orderkey")).cast("int").alias("cents"))
+
+
+@query(f"SELECT row_id, o_orderkey, o_custkey, cents, status FROM {KEPT_SQL}")
+def store_scan(spark, sf):
+    return _store(spark, sf).table("orders")
+
+
+@query(f"SELECT row_id, o_custkey, cents FROM {KEPT_SQL} WHERE o_orderkey >= 100 AND o_orderkey < 900 AND status = 'O'")
+def store_pruned_query(spark, sf):
+    return stored_query(_store(spark, sf), "orders").where("o_orderkey", "between", 100, 900).where("status", "eq", "O").select("o_custkey", "cents").execute()
+
+
+@query(f"SELECT row_id, o_orderkey, o_custkey, CASE WHEN row_id < 4096 THEN -row_id ELSE cents END::INT AS cents, status FROM {KEPT_SQL}")
+def store_update(spark, sf):
+    store = _store(spark, sf)
+    store.update_row_groups("orders", _changed(spark, sf))
+    return store.table("orders")
+
+
+@query(f"SELECT count(*) AS count, coalesce(sum(o_orderkey), 0)::BIGINT AS sum FROM {KEPT_SQL} WHERE o_orderkey >= 500 AND o_orderkey < 13000")
+def store_range_aggregate(spark, sf):
+    return _store(spark, sf).range_aggregate("orders", "o_orderkey", 500, 13000)
+
+
+@query(f"""SELECT count(*) AS row_count, count(*) FILTER (p > o_custkey) AS inversions, min(o_custkey) AS "min", max(o_custkey) AS "max" FROM (SELECT o_custkey, lag(o_custkey) OVER (ORDER BY row_id) AS p FROM {KEPT_SQL})""")
+def store_order_facts(spark, sf):
+    facts = _store(spark, sf).order_facts("orders", "o_custkey")
+    return spark.createDataFrame([tuple(facts[k] for k in ("row_count", "inversions", "min", "max"))], "row_count long, inversions long, min long, max long")
+
+
+@query(f"SELECT o_orderkey, row_id, row_id AS position FROM {KEPT_SQL}")
+def store_order_skips_the_sort(spark, sf):
+    return _store(spark, sf).order("orders", "o_orderkey")
+
+
+@query(f"SELECT row_id, cents, 7::BIGINT AS score, NULL::VARCHAR AS note FROM {KEPT_SQL} WHERE o_custkey < 200")
+def store_added_columns(spark, sf):
+    store = _store(spark, sf)
+    wider = TableDef({**KEPT["orders"].columns, "score": u32(default=7), "note": string(nullable=True)}, 4096)
+    return stored_query(Store(spark, store.root, {"orders": wider}), "orders").where("score", "eq", 7).where("o_custkey", "lt", 200).select("cents", "score", "note").execute()
+
+
+@query(f"SELECT row_id, cents, 'before' AS seen FROM {KEPT_SQL} UNION ALL SELECT row_id, CASE WHEN row_id < 4096 THEN -row_id ELSE cents END::INT, 'after' FROM {KEPT_SQL}")
+def store_snapshots(spark, sf):
+    """A snapshot that is pinned outlives an update and a vacuum; the new generation is read beside it."""
+    store = _store(spark, sf)
+    old, _pin = store.snapshot("orders"), store.pin("orders")
+    store.update_row_groups("orders", _changed(spark, sf))
+    store.vacuum("orders")
+    before = store.restore(old).select("row_id", "cents", F.lit("before").alias("seen"))
+    return before.unionAll(store.table("orders").select("row_id", "cents", F.lit("after").alias("seen")))
+
+
 # pages and plans
 
 
@@ -643,3 +877,27 @@ def graph_shortest(spark, sf):
     nations = _table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
     edges = nations.select("src", ((F.col("src") * 7 + F.col("k") * 3) % 25).cast("bigint").alias("dst"), (1 + (F.col("src") + F.col("k")) % 5).cast("double").alias("weight"))
     return graph.shortest_distances(edges, 0).select("node", "distance")
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS src, ((n_nationkey * 7 + k * 3) % 25)::BIGINT AS dst, (1 + (n_nationkey + k) % 5)::DOUBLE AS weight FROM nation, range(1, 4) t(k)),
+ w(node, distance, hops) AS (SELECT 0::BIGINT, 0.0::DOUBLE, 0 UNION SELECT dst, distance + weight, hops + 1 FROM w JOIN e ON src = node WHERE hops < 8)
+ SELECT 0::BIGINT AS first, 13::BIGINT AS last, min(distance) AS length FROM w WHERE node = 13""")
+def graph_path(spark, sf):
+    """The ends of a shortest path and the sum of the least weights along it."""
+    nations = _table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
+    edges = nations.select("src", ((F.col("src") * 7 + F.col("k") * 3) % 25).cast("bigint").alias("dst"), (1 + (F.col("src") + F.col("k")) % 5).cast("double").alias("weight"))
+    path = graph.shortest_path(graph.shortest_distances(edges, 0), 13)
+    steps = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "src bigint, dst bigint")
+    taken = steps.join(edges, ["src", "dst"]).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    return taken.agg(F.lit(path[0]).cast("bigint").alias("first"), F.lit(path[-1]).cast("bigint").alias("last"), F.sum("weight").alias("length"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT n_nationkey::BIGINT AS grid, x, y FROM nation, range(6) a(x), range(6) b(y) WHERE (x = 0 AND y = 0) OR (x = 5 AND y = 5) OR (x * 7 + y * 5 + x * y + n_nationkey * 3) % 4 <> 0),
+ w(grid, x, y, steps) AS (SELECT n_nationkey::BIGINT, 0::BIGINT, 0::BIGINT, 0 FROM nation UNION SELECT c.grid, c.x, c.y, w.steps + 1 FROM w JOIN c ON c.grid = w.grid AND abs(c.x - w.x) + abs(c.y - w.y) = 1 WHERE w.steps < 24)
+ SELECT n_nationkey::BIGINT AS grid, coalesce(min(steps), -1)::BIGINT AS steps FROM nation LEFT JOIN w ON grid = n_nationkey AND x = 5 AND y = 5 GROUP BY n_nationkey""")
+def grid_paths(spark, sf):
+    """Steps of a shortest way over a grid of 6 by 6 for each nation."""
+    cell = lambda y: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda x: F.when((x == 0) & (y == 0), "S").when((x == 5) & (y == 5), "G").when((x * 7 + y * 5 + x * y + F.col("n_nationkey") * 3) % 4 != 0, ".").otherwise("#"))
+    lines = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda y: F.array_join(cell(y), ""))
+    grids = _table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("grid"), F.array_join(lines, "\n").alias("cells"))
+    return graph.grid_paths(grids).select("grid", "steps")

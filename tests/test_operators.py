@@ -27,20 +27,26 @@ def test_half_open_ranges(spark, n):
 
 
 def test_masks_are_two_valued(spark):
-    df = frame(spark, [(i, i & 3) for i in range(131)], "i long, v int")
-    full, small = F.lit(True), predicates.lt("v", 2)
+    rng = random.Random(22)
+    values = [None if rng.random() < 0.2 else rng.randrange(50) for _ in range(407)]
+    df = frame(spark, list(enumerate(values)), "i long, v int")
     count = lambda m: df.agg(F.count_if(m)).first()[0]
-    kept = predicates.and_not(full, small)
-    assert count(kept) == 65 and count(predicates.invert(kept)) == 66
-    assert count(predicates.all_of(small, predicates.eq("v", 3))) == 0
-    assert df.withColumn("v", F.lit(None).cast("int")).where(predicates.invert(predicates.lt("v", 2))).count() == 131
+    low, odd = predicates.lt("v", 20), F.col("v") % 2 == 1
+    is_low, is_odd = [v is not None and v < 20 for v in values], [v is not None and v % 2 == 1 for v in values]
+    pairs = list(zip(is_low, is_odd, strict=True))
+    assert count(predicates.and_not(low, odd)) == sum(a and not b for a, b in pairs)
+    assert count(predicates.invert(low)) == is_low.count(False) and count(predicates.any_of(low, odd)) == sum(a or b for a, b in pairs)
+    assert count(predicates.all_of(low, odd)) == sum(a and b for a, b in pairs)
 
 
 def test_nullable_group_states(spark, rows):
-    keys, values = [7, 7, 7, (1 << 32) - 1, 0, 23, 23, 23], [5, -2, None, 9, -4, 8, 3, -1]
-    df = frame(spark, list(zip(keys, values, strict=True)) + [(7, 11), (7, None)], "k long, v int")
-    got = {r[0]: tuple(r)[1:] for r in aggregate.group_sparse(df, "k", "v").collect()}
-    assert got[7] == (3, 2, 14, -2, 11, 14 / 3) and got[23] == (3, 0, 10, -1, 8, 10 / 3) and len(got) == 4
+    rng = random.Random(21)
+    data = [(rng.choice([0, 3, 40, 2**31, 2**32 - 1]), None if rng.random() < 0.3 else rng.randrange(-90, 90)) for _ in range(170)]
+    got = {r[0]: tuple(r)[1:] for r in aggregate.group_sparse(frame(spark, data, "k long, v int"), "k", "v").collect()}
+    assert set(got) == {k for k, _ in data}
+    for key, state in got.items():
+        all_, some = [v for k, v in data if k == key], [v for k, v in data if k == key and v is not None]
+        assert state == (len(some), len(all_) - len(some), sum(some), min(some), max(some), sum(some) / len(some))
     empty = aggregate.group_sparse(frame(spark, [(1, None)], "k long, v int"), "k", "v").first()
     assert tuple(empty) == (1, 0, 1, 0, None, None, None)
 
@@ -60,29 +66,30 @@ def test_page_estimate(spark):
     table = pages.page_table(spark.range(1024).select("id", F.col("id").cast("int").alias("v")), "id", "v", 128)
     assert tuple(pages.estimate(table, 300, 340).first()) == (1, 7, 128)
     assert tuple(pages.estimate(table, 5, 5).first()) == (0, 8, 0)
-    costs = pages.Costs(1e-6, {"raw": 1e-9}, 1e-3)
-    assert pages.choose({"raw": (1, 65536)}, 8, costs) == "direct" and pages.choose({"raw": (4096, 1 << 28)}, 8, costs) == "workers"
 
 
 def test_join_pairs(spark, rows):
-    build = frame(spark, list(zip([7, 9, 7, 7, 100, (1 << 32) - 1], range(10, 16), strict=True)), "k long, b long")
-    probe = frame(spark, list(zip([7, 8, 100, 7], range(20, 24), strict=True)), "k long, p long")
+    rng = random.Random(23)
+    left, right = ([(None if rng.random() < 0.1 else rng.randrange(12), n) for n in range(size)] for size in (40, 25))
+    probe, build = frame(spark, left, "k long, p long"), frame(spark, right, "k long, b long")
     pairs = join.row_id_pairs(probe, build, "k", "p", "b")
-    want = [(20, 10), (20, 12), (20, 13), (22, 14), (23, 10), (23, 12), (23, 13)]
-    assert rows(pairs) == want
-    assert join.match_count(probe, build, "k").first()[0] == 7
-    assert tuple(join.build_facts(build, "k").first()) == (6, 4)
-    written, facts = join.capped_pairs(pairs, 3)
-    assert rows(written) == want[:3] and tuple(facts.first()) == (7, 3, True)
+    want = sorted((p, b) for k, p in left for j, b in right if k is not None and k == j)
+    assert rows(pairs) == want and join.match_count(probe, build, "k").first()[0] == len(want)
+    assert tuple(join.build_facts(build, "k").first()) == (len(right), len({k for k, _ in right if k is not None}))
+    written, facts = join.capped_pairs(pairs, 9)
+    assert rows(written) == want[:9] and tuple(facts.first()) == (len(want), 9, True)
+    with pytest.raises(Exception, match="repeated"):
+        join.lookup(frame(spark, [(1,)], "k long"), frame(spark, [(1, 2), (1, 3)], "k long, v long"), "k", "v").collect()
 
 
 def test_order_is_stable(spark):
-    df = frame(spark, [(0, 9), (1, 1), (2, 9), (3, 2)], "i long, k long")
-    assert [tuple(r) for r in order.stable_order(df, "k", "i").collect()] == [(1, 1), (2, 3), (9, 0), (9, 2)]
+    rng = random.Random(24)
+    data = [(i, rng.randrange(30)) for i in range(500)]
+    df, want = frame(spark, data, "i long, k long"), sorted((k, i) for i, k in data)
+    assert [tuple(r) for r in order.stable_order(df, "k", "i").collect()] == want
+    assert sorted(tuple(r) for r in order.order_positions(df.repartition(5), "k", "i").collect()) == [(k, i, n) for n, (k, i) in enumerate(want)]
     with pytest.raises(Exception, match="null"):
         order.stable_order(frame(spark, [(0, None)], "i long, k long"), "k", "i").collect()
-    assert order.strategy(1 << 20, True, 0, 0, 9) == "already-sorted"
-    assert order.strategy(1 << 20, False, 1 << 19, 0, 255) == "native" and order.strategy(1 << 20, False, 1 << 19, 0, 1 << 31) == "radix"
 
 
 def test_sets(spark, rows):
@@ -143,16 +150,41 @@ def test_sequences(spark):
     with pytest.raises(ValueError):
         sequence.range_frequency(seq, 0, 6, 5, 1)
     assert not sequence.is_monotone(seq, "pos", "value").first()[0]
+    rng = random.Random(25)
+    values = [rng.randrange(20) for _ in range(300)]
+    many, before = frame(spark, list(enumerate(values)), "pos long, value long"), sequence.SPAN
+    sequence.SPAN = 64  # several spans
+    try:
+        asked = [(n, rng.randrange(22), rng.randrange(0, 310)) for n in range(60)]
+        found = {r["query"]: r["rank"] for r in sequence.rank_many(many, frame(spark, asked, "query int, value long, end long")).collect()}
+        assert found == {n: values[:end].count(v) for n, v, end in asked}
+        spans = [(n, a, a + rng.randrange(0, 150), rng.randrange(100)) for n, a in enumerate(rng.sample(range(290), 30))]
+        found = {r["query"]: r["quantile"] for r in sequence.quantile_many(many, frame(spark, spans, "query int, left long, right long, k long")).collect()}
+        assert found == {n: (sorted(values[a:b])[k] if k < len(values[a:b]) else -1) for n, a, b, k in spans}
+        assert sequence.inversions(many, "pos", "value").first()[0] == sum(a > b for a, b in zip(values, values[1:], strict=False))
+        up = frame(spark, [(k, k // 3) for k in range(300)], "pos long, value long")
+        assert sequence.is_monotone(up, "pos", "value").first()[0] and not sequence.is_monotone(up, "pos", "value", strict=True).first()[0]
+    finally:
+        sequence.SPAN = before
 
 
 def test_texts(spark, rows):
-    df = frame(spark, [(0, "banana"), (1, "simd:simd"), (2, "é"), (3, "")], "i long, t string")
+    df = frame(spark, [(0, "banana"), (1, "left:right"), (2, "é"), (3, "")], "i long, t string")
     t = F.col("t")
     got = df.select(text.count_overlapping(t, "ana"), text.count_overlapping(t, ""), text.index_of(t, ":"), text.last_index_of(t, "a"), text.index_of_non_ascii(t)).collect()
     assert tuple(got[0]) == (2, 7, -1, 5, -1) and got[1][2] == 4 and got[2][4] == 0 and tuple(got[3]) == (0, 1, -1, -1, -1)
     assert rows(text.locate_all(df, "i", "t", "ana")) == [(0, 1), (0, 3)]
     data = frame(spark, [(b"\x12\x23\x23",)], "d binary")
     assert data.select(text.index_of_byte(F.col("d"), 0x23), text.index_of_byte(F.col("d"), 0x22), text.index_of_byte(F.col("d"), 0x23, 2)).first() == (1, -1, 2)
+    rng = random.Random(26)
+    raw = bytes(rng.choice([0, 1, 2, 1, 255]) for _ in range(200))
+    d, one = F.col("d"), frame(spark, [(raw,)], "d binary")
+    for needle in (b"", raw[5:7], raw[100:103], b"\xff\x01", b"\x07", b"\x00\x00"):
+        found = one.select(text.index_of_bytes(d, needle), text.index_of_bytes(d, needle, 20), text.index_of_bytes(d, needle, 20, 120), text.last_index_of_bytes(d, needle), text.last_index_of_bytes(d, needle, 90)).first()
+        assert tuple(found) == (raw.find(needle), raw.find(needle, 20), raw.find(needle, 20, 120), raw.rfind(needle), raw.rfind(needle, 0, 90))
+    assert frame(spark, [("a😀b\\Ec",)], "t string").select(text.index_of_utf16(t, "b"), text.index_of_utf16(t, ""), text.index_of_utf16(t, "z")).first() == (3, 0, -1)
+    asked = frame(spark, [(1, "ana"), (2, "\\E"), (3, "none")], "query int, pattern string")
+    assert rows(text.count_many(frame(spark, [("banana \\E",), ("ana",), (None,)], "t string"), "t", asked)) == [(1, 3), (2, 1), (3, 0)]
     word = frame(spark, [(bytes([1, 0, 0, 0, 255, 255, 255, 255]),)], "d binary")
     assert word.select(bits.decode_u32(F.col("d"))).first()[0] == [1, (1 << 32) - 1]
 
@@ -181,6 +213,11 @@ def test_batched_product(spark, rows):
     a = frame(spark, cells([[[1, 2], [3, 4]], [[1, 0], [0, 1]]]), "b int, i int, j int, v double")
     c = frame(spark, cells([[[5, 6], [7, 8]], [[2, 6], [9, 7]]]), "b int, i int, j int, v double")
     assert [r[3] for r in rows(matrix.multiply(a, c))] == [19, 22, 43, 50, 2, 6, 9, 7]
+    only = a.where("b = 0")
+    assert matrix.get(only, 1, 0).first()[0] == 3 and matrix.get(only, 7, 7).first()[0] == 0
+    assert [r[3] for r in rows(matrix.with_cells(only, frame(spark, [(0, 1, 0, 9.0), (0, 5, 5, 1.0)], "b int, i int, j int, v double")))] == [1, 2, 9, 4, 1]
+    assert [r[3] for r in rows(matrix.add(only, matrix.scale(matrix.transpose(only), 2.0)))] == [3, 8, 7, 12] and {r[3] for r in rows(matrix.filled(only, 2.0))} == {2.0}
+    assert rows(matrix.row_positions(a.where("v > 1"), 0)) == [(1,)]
     assert rows(matrix.row_ones(matrix.boolean(a.where("b = 1 and v > 0")))) == [(0, 1), (1, 1)]
 
 
@@ -208,6 +245,14 @@ def test_validation(spark):
     assert [r["valid"] for r in found] == [True, False, False, True, False, False]
     with pytest.raises(validate.UnsupportedSchema):
         validate.rule_of({"type": "string", "pattern": "x"})
+    for refused in ({"type": "object", "additionalProperties": False}, {"type": "array", "minLength": 1}, {"type": "string", "minimum": 0}):
+        with pytest.raises(validate.UnsupportedSchema):
+            validate.rule_of(refused)
+    row = frame(spark, [(1, [("x", 5), (None, 70)]), (None, None)], "a int, b array<struct<c: string, d: int>>")
+    inner = {"type": "object", "properties": {"c": {"type": "string"}, "d": {"type": "integer", "maximum": 9}}, "required": ["c", "d"]}
+    rule = validate.rule_of({"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": inner}}, "required": ["a"]})
+    found = row.select(validate.issues(F.struct("a", "b"), rule).alias("i")).collect()
+    assert [[(x["code"], x["path"]) for x in r["i"]] for r in found] == [[("type", "b[1].c"), ("range", "b[1].d")], [("type", "a")]]
 
 
 def test_paths(spark, rows):

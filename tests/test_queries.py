@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from basaltine import queries as q
 from basaltine.operators import matrix, vector
@@ -86,11 +87,40 @@ def test_every_hundredth_vector_is_searched_for(spark, duck, rows, monkeypatch):
     assert rows(q.QUERIES["topk_batch"](spark, SF)) == want
 
 
+def test_sets_differ(spark, rows):
+    one = rows(q.QUERIES["set_cardinalities"](spark, SF))[0]
+    assert 0 < q.QUERIES["set_difference"](spark, SF).count() < q.QUERIES["set_union"](spark, SF).count() and q.QUERIES["set_ranges"](spark, SF).count() > 5
+    assert one[2] < min(one[0], one[1]) and one[4] > 0 and 0 < one[-1] < 1
+    assert q.QUERIES["set_intersect"](spark, SF).count() not in (0, q.QUERIES["set_union"](spark, SF).count())
+
+
+def test_pruned_vectors_are_not_read(spark):
+    """A query near one block reads that block's rows only."""
+    rows = spark.range(4096).select(F.col("id").alias("vec_id"), F.array(F.floor(F.col("id") / 64).cast("float"), (F.col("id") % 64 / 64).cast("float")).alias("v"))
+    bounds = vector.block_bounds(rows, "v", "vec_id")
+    found = vector.pruned_nearest(rows, bounds, "v", "vec_id", [20.0, 0.5], 5)
+    assert sorted(r["vec_id"] for r in found.collect()) == [20 * 64 + k for k in range(30, 35)]
+    assert "vec_id" in found._jdf.queryExecution().optimizedPlan().toString() and "1280" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_plans(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = lambda name: q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan("topk_l2") and "TakeOrderedAndProject" in plan("order_top_k")
     assert "GreaterThanOrEqual(label" in plan("hybrid_topk").partition("PushedFilters")[2]
     assert "GreaterThanOrEqual(l_partkey" in plan("masked_multi_measure").partition("PushedFilters")[2]
+    pushed = {
+        "range_aggregate": ("GreaterThanOrEqual(l_quantity,10.0)", "LessThan(l_quantity,20.0)"),
+        "group_dense": ("GreaterThanOrEqual(l_shipdate,", "LessThan(l_shipdate,"),
+        "builder_between_eq": ("GreaterThanOrEqual(o_custkey,40)", "EqualTo(o_orderpriority,2-HIGH)", "LessThan(o_orderstatus,P)"),
+        "distance_selected": ("EqualTo(label,3)",),
+        "point_get": ("EqualTo(event_id,77)",),
+    }
+    for name, filters in pushed.items():
+        assert all(f in plan(name).partition("PushedFilters")[2] for f in filters), name
+    # no order of all rows in one task: only the partitions' counts meet in one
+    for name in ("order_stable", "seq_monotone", "dictionary_encode", "order_remaining"):
+        assert all("specifiedwindowframe(RowFrame, unboundedpreceding$(), -1)" in line and "[part#" in line for line in plan(name).splitlines() if "- Window [" in line), name
     scan = plan("group_dense")
     assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string,l_shipdate:" in scan and scan.count("Exchange") <= 2
     assert plan("join_match_count").count("partial_") >= 2
