@@ -1,46 +1,5 @@
-"""Tables written between the steps of an operator, in the folder that driver and executors share."""
+"""Tables written between the steps of an operator: those of the core."""
 
-from __future__ import annotations
+from basaltine.sources.scratch import saved, shared_folder
 
-import contextlib
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="basaltine-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    This cuts the lineage, so that a lost executor costs one step, and it forgets how the rows were partitioned,
-    so that a later join shuffles both sides and can split its hot keys. The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _forget() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["saved", "shared_folder"]
