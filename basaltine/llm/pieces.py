@@ -35,12 +35,12 @@ UNIGRAM, BPE = 1, 2
 #: What an unknown character costs below the lowest score of a unigram model. Fixed value of the public library.
 UNKNOWN_PENALTY = 10.0
 #: Words that a worker remembers; characters of words in one matrix; characters of texts that are encoded together.
-REMEMBERED, MATRIX, TOGETHER = 250_000, 1 << 18, 1 << 21
+REMEMBERED, MATRIX, TOGETHER = 200_000, 1 << 18, 1 << 20
 #: Odd factors: of the rolling hash, and of a bijection that spreads short strings over the buckets.
 _HASH, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Pairs that a worker remembers; leading bits of a hash that find its bucket; texts that leave a task together.
-PAIRS, BUCKET_BITS, ROWS = 2_000_000, 17, 256
-_known: dict[str, dict[str, bytes]] = {}
+PAIRS, BUCKET_BITS, ROWS = 1_500_000, 17, 256
+_known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _agree: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -124,10 +124,31 @@ class PieceModel:
         self.text_size = np.array([len(t) for t in text], np.int64)
         self.text_start = np.cumsum(self.text_size) - self.text_size
         self.text_flat = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)
-        joined = sorted({c for k in usable if len(text[k]) > 1 for c in text[k]} - {SPACE})
-        inner = "".join(map(re.escape, joined))
-        #: Words: characters that occur in longer pieces, with the spaces before them; any other character alone.
-        self.cut = f"{SPACE}*[{inner}]+|{SPACE}+|[^{inner}{SPACE}]" if joined else f"(?s:{SPACE}+|.)"
+        self.cut = self._cut([text[k] for k in usable if len(text[k]) > 1])
+
+    @staticmethod
+    def _cut(pieces: list[str]) -> str:
+        """The pattern of words, between which no piece stands: the spaces before them and runs of letters or of marks.
+
+        A mark that follows a letter in some piece counts as a letter; one that only precedes letters in pieces may
+        begin a word. Characters that occur in no longer piece stand alone.
+        """
+        pairs = {p for t in pieces for p in zip(t, t[1:], strict=False) if SPACE not in p}
+        joined = {c for t in pieces for c in t} - {SPACE}
+        if not joined:
+            return f"(?s:{SPACE}+|.)"
+        letters = {c for c in joined if c.isalnum()}
+        while more := {b for a, b in pairs if a in letters} - letters:
+            letters |= more
+        marks = joined - letters
+        first = {a for a, b in pairs if a in marks and b in letters}
+
+        def of(chars: set[str]) -> str:
+            return "".join(map(re.escape, sorted(chars)))
+
+        begin = f"(?:[{of(marks)}]*[{of(first)}])?" if first else ""
+        options = ([f"{SPACE}*{begin}[{of(letters)}]+"] if letters else []) + ([f"{SPACE}*[{of(marks)}]+"] if marks else [])
+        return "|".join([*options, f"{SPACE}+", f"[^{of(joined)}{SPACE}]"])
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -316,15 +337,16 @@ class PieceModel:
         return out + self._ids(waiting)
 
     def _ids(self, texts: list[list[str]]) -> list[np.ndarray]:
-        known = _known.setdefault(self.name, {})
+        known, older = _known.get(self.name, ({}, {}))
         every = set(chain.from_iterable(texts))
         new = every.difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = every
-        if new:
-            todo = list(new)
-            known.update(zip(todo, self.encode_words(todo), strict=True))
+        if len(known) + len(new) > REMEMBERED // 2:
+            # what has not been met since the last time goes
+            known, older, new = {}, known, every
+        known.update((w, older[w]) for w in new if w in older)
+        todo = [w for w in new if w not in older]
+        known.update(zip(todo, self.encode_words(todo), strict=True))
+        _known[self.name] = known, older
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in texts]
 
     def decode(self, ids: np.ndarray) -> str:
