@@ -9,16 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltine.sources.scratch import saved
+from basaltine.sources.scratch import forget, new_folder
 
 
 def shortest_distances(edges: DataFrame, source: int, rounds: int = 10_000) -> DataFrame:
     """edges (src, dst, weight >= 0) to node, distance, parent of every node that a source reaches.
 
     A round relaxes the edges of the nodes that got nearer in the last one, and its state is written to the shared
-    folder, which cuts the plan and survives lost executors.
+    folder, which cuts the plan and survives lost executors. The state before goes when a round has ended.
     """
-    spark = edges.sparkSession
+    spark, last = edges.sparkSession, None
     known = spark.createDataFrame([(source, 0.0, None)], "node bigint, distance double, parent bigint")
     frontier = known
     for _ in range(rounds):
@@ -26,7 +26,12 @@ def shortest_distances(edges: DataFrame, source: int, rounds: int = 10_000) -> D
         both = known.withColumn("old", F.lit(True)).unionByName(found.withColumn("old", F.lit(False)))
         best = both.groupBy("node").agg(F.min(F.struct("distance", (~F.col("old")).alias("new"), "parent")).alias("b"))
         state = best.select("node", "b.distance", "b.parent", "b.new")
-        state = saved(state)
+        folder = new_folder(spark, "distances")
+        state.write.parquet(folder)
+        state = spark.read.schema(state.schema).parquet(folder)
+        if last is not None:
+            forget(spark, last)
+        last = folder
         frontier = state.where("new").select("node", "distance", "parent")
         known = state.select("node", "distance", "parent")
         if frontier.isEmpty():
@@ -46,37 +51,39 @@ def shortest_path(distances: DataFrame, target: int) -> list[int]:
     return path[::-1]
 
 
-def _grid(cells: list[str]) -> tuple[int, list[int]]:
-    """Steps and places of a shortest way from S to G over four neighbours; -1 if there is none."""
-    width, flat = len(cells[0]), "".join(cells)
-    start, goal = flat.index("S"), flat.index("G")
-    gy, gx = divmod(goal, width)
-    queue, cost, parent = [(0, 0, start)], {start: 0}, {start: -1}
-    while queue:
-        _, g, at = heapq.heappop(queue)
-        if at == goal:
-            path = []
-            while at >= 0:
-                path.append(at)
-                at = parent[at]
-            return g, path[::-1]
-        if g > cost[at]:
-            continue
-        y, x = divmod(at, width)
-        for ny, nx in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
-            n = ny * width + nx
-            if 0 <= nx < width and 0 <= ny < len(cells) and flat[n] != "#" and g + 1 < cost.get(n, 1 << 60):
-                cost[n], parent[n] = g + 1, at
-                heapq.heappush(queue, (g + 1 + abs(ny - gy) + abs(nx - gx), g + 1, n))
-    return -1, []
+def grid_paths(grids: DataFrame) -> DataFrame:
+    """grids (grid, cells: lines of ``.``, ``#``, one S and one G) to grid, steps, path; grids are independent.
 
+    A shortest way goes from S to G over four neighbours; steps are -1 and the path is empty if there is none. The
+    search is nested here, so that it is sent by value: Python workers need not have this package.
+    """
 
-def _grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        found = [_grid(c.split("\n")) for c in b["cells"]]
-        yield pd.DataFrame({"grid": b["grid"], "steps": [f[0] for f in found], "path": [f[1] for f in found]})
+    def search(cells: list[str]) -> tuple[int, list[int]]:
+        width, flat = len(cells[0]), "".join(cells)
+        start, goal = flat.index("S"), flat.index("G")
+        gy, gx = divmod(goal, width)
+        queue, cost, parent = [(0, 0, start)], {start: 0}, {start: -1}
+        while queue:
+            _, g, at = heapq.heappop(queue)
+            if at == goal:
+                path = []
+                while at >= 0:
+                    path.append(at)
+                    at = parent[at]
+                return g, path[::-1]
+            if g > cost[at]:
+                continue
+            y, x = divmod(at, width)
+            for ny, nx in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+                n = ny * width + nx
+                if 0 <= nx < width and 0 <= ny < len(cells) and flat[n] != "#" and g + 1 < cost.get(n, 1 << 60):
+                    cost[n], parent[n] = g + 1, at
+                    heapq.heappush(queue, (g + 1 + abs(ny - gy) + abs(nx - gx), g + 1, n))
+        return -1, []
 
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [search(c.split("\n")) for c in b["cells"]]
+            yield pd.DataFrame({"grid": b["grid"], "steps": [f[0] for f in found], "path": [f[1] for f in found]})
 
-def grid_paths(grids: DataFrame) -> DataFrame:
-    """grids (grid, cells: lines of ``.``, ``#``, one S and one G) to grid, steps, path; grids are independent."""
-    return grids.select("grid", "cells").mapInPandas(_grids, "grid bigint, steps bigint, path array<bigint>")
+    return grids.select("grid", "cells").mapInPandas(each, "grid bigint, steps bigint, path array<bigint>")

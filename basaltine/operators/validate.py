@@ -32,18 +32,26 @@ def _f32(value: float, up: bool) -> float:
     return struct.unpack("<f", struct.pack("<i", bits + away))[0]
 
 
+def _limits(kind: str, low: float | None, high: float | None) -> tuple[float, float]:
+    a, b = KINDS[kind]
+    return a if low is None else max(a, low), b if high is None else min(b, high)
+
+
 def bounds(kind: str, low: float | None = None, high: float | None = None) -> tuple[float, float]:
     """The inclusive bounds in effect: integers round inward, so do single-precision numbers."""
-    a, b = KINDS[kind]
-    a, b = max(a, low) if low is not None else a, min(b, high) if high is not None else b
+    a, b = _limits(kind, low, high)
     if kind == "f32":
         return _f32(a, True), _f32(b, False)
     return (a, b) if kind == "f64" else (math.ceil(a), math.floor(b))
 
 
 def invalid(value: Column, kind: str, low: float | None = None, high: float | None = None) -> Column:
-    """Whether a number is null, not finite or out of bounds."""
-    a, b = bounds(kind, low, high)
+    """Whether a number is null, not finite or out of bounds.
+
+    Single-precision values meet the bounds in double precision, where both are exact; a column of doubles may be
+    checked as that kind too, and its values are not rounded either.
+    """
+    a, b = _limits(kind, low, high) if kind == "f32" else bounds(kind, low, high)
     if a > b:
         return F.lit(True)
     bad = value.isNull() | (value < F.lit(a)) | (value > F.lit(b))

@@ -1,7 +1,11 @@
 """Operators against literal results and scalar loops."""
 
 import math
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,6 +243,8 @@ def test_validation(spark):
     assert validate.bounds("i32", 1.2, 3.7) == (2, 3)
     low, high = validate.bounds("f32", 0.1, 0.1)
     assert low > 0.1 and high < 0.1
+    # 0.1 is no single-precision number: a double of that value is within, the nearest single is not
+    assert [df.where("i = 0").select(validate.invalid(F.lit(0.1).cast(kind), "f32", 0.1, 0.1)).first()[0] for kind in ("double", "float")] == [False, True]
     rule = validate.rule_of({"type": "object", "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"type": "string", "maxLength": 2}}}, "required": ["a"]})
     texts = ['{"a": 2, "b": ["x", "yé"]}', '{"a": 0}', '{"b": []}', '{"a": 1}', "oops", '{"a": 3, "b": ["long"]}']
     found = validate.check_json(frame(spark, [(t,) for t in texts], "t string"), "t", "a double, b array<string>", rule).collect()
@@ -255,6 +261,15 @@ def test_validation(spark):
     assert [[(x["code"], x["path"]) for x in r["i"]] for r in found] == [[("type", "b[1].c"), ("range", "b[1].d")], [("type", "a")]]
 
 
+def test_searches_on_grids_need_no_package_on_the_workers(spark, tmp_path):
+    """A session that is started elsewhere: its Python workers cannot import this package."""
+    root = Path(__file__).resolve().parents[1]
+    code = f"import sys; sys.path.insert(0, {str(root)!r})\nfrom basaltine.operators import graph\nfrom basaltine.session import local_session\ns = local_session(1, '512m', 1)\n"
+    code += "print(graph.grid_paths(s.createDataFrame([(1, 'S.G')], 'grid long, cells string')).first()['steps'])"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")})
+    assert done.stdout.split()[-1:] == ["2"], done.stderr[-500:]
+
+
 def test_paths(spark, rows):
     edges = frame(spark, [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 5.0), (2, 3, 1.0), (9, 8, 1.0)], "src long, dst long, weight double")
     found = graph.shortest_distances(edges, 0)
