@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -212,6 +213,52 @@ def test_vectors(spark, rows):
         vector.nearest(df, "v", "id", q[:3], 2).collect()
 
 
+@pytest.mark.parametrize("kind", ["l2", "ip", "l1"])
+def test_many_queries_in_blocks(spark, rows, monkeypatch, kind):
+    """Copies, ties, nulls, NaN, infinities and lengths beyond any bound rank as by scores of one pair at a time."""
+    rng = random.Random(9)
+    draws = (lambda: float(rng.randrange(3)), lambda: rng.gauss(0, 1), lambda: 1 + rng.randrange(4) * 2.0**-52, lambda: rng.choice([1e200, 1e-170, 1e8]) * rng.gauss(0, 1))
+    data = [[rng.choice(draws)() for _ in range(4)] if n % 3 else [draws[n % 4]() for _ in range(4)] for n in range(150)]
+    data += [[1.0, odd, -0.0, 2.0] for odd in (math.nan, math.inf, -math.inf, None)] + [rng.choice(data) for _ in range(50)]
+    df = frame(spark, list(enumerate(data)), "id long, v array<double>").repartition(3)
+
+    def score(x, y):
+        total = 0.0
+        for a, b in zip(x, y, strict=True):
+            if a is None or b is None:
+                return None
+            total += a * b if kind == "ip" else abs(a - b) if kind == "l1" else (a - b) * (a - b)
+        return total
+
+    def order(s):
+        return (0, 0.0) if s is None else (2, 0.0) if math.isnan(s) else (1, -s if kind == "ip" else s)
+
+    asked = [n for n in range(len(data)) if n % 5 == 0 or 150 <= n < 154]
+    want = [(q, n, place + 1) for q in asked for place, n in enumerate(sorted(range(len(data)), key=lambda n: (order(score(data[n], data[q])), n))[:6])]
+    queries = df.where(F.col("id").isin(asked)).select(F.col("id").alias("query"), F.col("v").alias("wanted"))
+    for block, chunk, held, packed in ((1024, 8192, 1 << 21, 1 << 22), (5, 40, 200, 1 << 22), (1024, 8192, 200, 100)):
+        monkeypatch.setattr(vector, "BLOCK", block)
+        monkeypatch.setattr(vector, "CHUNK", chunk)
+        monkeypatch.setattr(vector, "HELD", held)
+        monkeypatch.setattr(vector, "PACKED", packed)
+        found = vector.nearest_many(df, "v", "id", queries, 6, kind)
+        assert rows(found.select("query", "id", "rank")) == sorted(want)
+    assert all(repr(r["score"]) == repr(score(data[r["id"]], data[r["query"]])) for r in found.collect())
+    with pytest.raises(Exception, match="length"):
+        vector.nearest_many(df, "v", "id", queries.withColumn("wanted", F.slice("wanted", 1, 3)), 6, kind).collect()
+
+
+def test_many_queries_at_size(spark):
+    """Eight million pairs are a matrix product, not an expression a pair, and no side of the meeting is broadcast."""
+    df = spark.range(20_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda d: (F.pmod(F.xxhash64("id", d), F.lit(2001)) / 1000 - 1).cast("float")).alias("v"))
+    found = vector.nearest_many(df, "v", "id", df.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("v").alias("wanted")), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Broadcast" not in plan
+    start = time.monotonic()
+    assert {r["query"]: r["id"] for r in found.where("rank = 1").collect()} == {n: n for n in range(0, 20_000, 50)}
+    assert time.monotonic() - start < 30
+
+
 def test_batched_product(spark, rows):
     cells = lambda m: [(b, i, j, float(v)) for b, part in enumerate(m) for i, row in enumerate(part) for j, v in enumerate(row)]
     a = frame(spark, cells([[[1, 2], [3, 4]], [[1, 0], [0, 1]]]), "b int, i int, j int, v double")
